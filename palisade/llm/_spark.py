@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage in the shared checkpoint folder."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    That cuts lineage, survives lost executors, keeps columns prunable and gives
+    later joins true sizes.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:

@@ -23,7 +23,6 @@ Null and empty texts hold the end id alone.  Other columns are not stored.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -33,7 +32,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import parts, prepare, table
+from palisade.llm._spark import parts, prepare, shared_path, table
 
 MODEL = "byte_bpe_50k.json"
 BLOCK = 256
@@ -187,12 +186,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return read.join(F.broadcast(bases), "shard").select("doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def store_path(spark: SparkSession) -> str:
-    prepare(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tokens-{uuid.uuid4().hex}"
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = store_path(spark)
+    path = shared_path(spark, "tokens")
     write_store(table(spark, sf_dir, "documents"), path)
     return read_store(spark, path).drop("ids")

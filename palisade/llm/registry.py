@@ -8,6 +8,7 @@ _MODULES = {
     "op4_decontaminate": "op4_decontaminate",
     "op7_token_store": "op7_token_store",
     "op9_token_counts": "op9_token_counts",
+    "op10_repeats": "op10_repeats",
 }
 
 

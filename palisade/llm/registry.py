@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op4_decontaminate": "op4_decontaminate",
     "op5_jaccard_join": "op5_jaccard_join",
+    "op6_embedding_dedup": "op6_embedding_dedup",
     "op7_token_store": "op7_token_store",
     "op9_token_counts": "op9_token_counts",
     "op10_repeats": "op10_repeats",

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import cut, prepare, table
+from palisade.llm._spark import cut, discard, prepare, release, table
 from palisade.llm._text import NON_BLANK, buffers, chunks, hash_words, mix, signed, windows
 
 LENGTH = 35
@@ -160,21 +160,27 @@ def _search(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
     n1, n2 = levels(length)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = cut(source.mapInArrow(_documents(length), _BASE), "words")
-    classes = cut(base.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.any_value("h").alias("h"), F.any_value("ext").alias("ext"), F.any_value("pos").alias("pos")), "classes")
+    wide = cut(base.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.any_value("h").alias("h"), F.any_value("ext").alias("ext"), F.any_value("pos").alias("pos")), "classes")
 
-    anchors = classes.select("k1", "k2", "rep", F.explode(F.arrays_zip("h", "ext", "pos")).alias("a")).select("k1", "k2", "rep", "a.h", "a.ext", "a.pos")
+    rows = cut(base.select("doc_id", "n_words", "k1", "k2", F.unhex("kept_sha256").alias("sha")), "rows")
+    discard(base)
+    release(docs.sparkSession)
+    anchors = wide.select("k1", "k2", "rep", F.explode(F.arrays_zip("h", "ext", "pos")).alias("a")).select("k1", "k2", "rep", "a.h", "a.ext", "a.pos")
     again = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     anchors = anchors.join(again, "h", "left_semi")
     sides = anchors.select("k1", "k2", "rep", "h", F.explode(F.array(F.struct(F.shiftrightunsigned("ext", 32).alias("side"), F.col("pos").alias("spot")), F.struct((F.col("ext").bitwiseAND(0xFFFFFFFF) + F.lit(1 << 33)).alias("side"), (-1 - F.col("pos")).alias("spot")))).alias("s")).select("k1", "k2", "rep", F.xxhash64("h", "s.side").alias("double"), "s.spot")
     again = sides.groupBy("double").agg(F.count("*").alias("n")).where("n > 1").select("double")
-    spots = sides.join(again, "double", "left_semi").groupBy("k1", "k2", "rep").agg(F.collect_list("spot").alias("spots"))
+    spots = cut(sides.join(again, "double", "left_semi").groupBy("k1", "k2", "rep").agg(F.collect_list("spot").alias("spots")), "spots")
+    classes = cut(wide.select("k1", "k2", "copies", "rep"), "classes")
+    discard(wide)
+    release(docs.sparkSession)
 
     # The words of one text at most are gathered here, and both joins with the texts use one exchange.
     held = source.join(spots, source["doc_id"].eqNullSafe(spots["rep"])).select("text", "spots", "k1", "k2")
     full = held.mapInArrow(_full_windows(length), "w long, k1 long, k2 long, first int")
     again = full.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
     hits = full.join(again, "w", "left_semi")
-    return base, classes, source, hits
+    return rows, classes, source, hits
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -184,17 +190,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, where words went from a text without copies, the kept text."""
-    base, classes, source, hits = _search(docs, length)
+    rows, classes, source, hits = _search(docs, length)
     per_class = hits.groupBy("k1", "k2").agg(F.collect_list("first").alias("first")).join(classes.where("copies = 1").select("k1", "k2", "rep"), ["k1", "k2"])
     held = source.join(per_class, source["doc_id"].eqNullSafe(per_class["rep"])).select("text", "first", "k1", "k2")
-    shortened = held.mapInArrow(_removal(length), "k1 long, k2 long, n_removed long, kept string").select("k1", "k2", "n_removed", "kept", F.sha2("kept", 256).alias("sha"))
-    rows = base.select("doc_id", "n_words", "k1", "k2", "kept_sha256").join(classes.select("k1", "k2", "copies"), ["k1", "k2"]).join(shortened, ["k1", "k2"], "left")
+    shortened = held.mapInArrow(_removal(length), "k1 long, k2 long, n_removed long, kept string").select("k1", "k2", "n_removed", "kept")
+    rows = rows.join(classes.select("k1", "k2", "copies"), ["k1", "k2"]).join(shortened, ["k1", "k2"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= length)
     return rows.select(
         "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.sha2("kept", 256), F.lower(F.hex("sha")))).alias("kept_sha256"),
         F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept_text"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_toxicity": "op1_toxicity",
     "op3_secrets": "op3_secrets",
     "op4_decontaminate": "op4_decontaminate",
     "op5_jaccard_join": "op5_jaccard_join",

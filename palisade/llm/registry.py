@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_toxicity": "op1_toxicity",
+    "op2_pii": "op2_pii",
     "op3_secrets": "op3_secrets",
     "op4_decontaminate": "op4_decontaminate",
     "op5_jaccard_join": "op5_jaccard_join",

@@ -12,6 +12,7 @@ _MODULES = {
     "op5_jaccard_join": "op5_jaccard_join",
     "op6_embedding_dedup": "op6_embedding_dedup",
     "op7_token_store": "op7_token_store",
+    "op8_sentencepiece": "op8_sentencepiece",
     "op9_token_counts": "op9_token_counts",
     "op10_repeats": "op10_repeats",
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -334,7 +335,7 @@ def _(spark, d):
 _frameworks_sql = " UNION ALL ".join(f"SELECT unnest({duck_list(p.frameworks)}) AS framework, decided FROM dec WHERE rule_id = {q(p.rule_id)}" for p in _ALL if p.frameworks)
 
 
-@query("events_by_framework", f"WITH {REQS}, {CTX}, dec AS ({_decision_sql(_ALL)}), f AS ({_frameworks_sql}) SELECT framework, decided AS action, count(*) AS events FROM f GROUP BY ALL")
+@query("events_by_framework", f"WITH {REQS}, {CTX}, dec AS MATERIALIZED ({_decision_sql(_ALL)}), f AS ({_frameworks_sql}) SELECT framework, decided AS action, count(*) AS events FROM f GROUP BY ALL")
 def _(spark, d):
     return rollups.events_by_framework(_decided(spark, d).select(F.col("decision.regulatory_mapping").alias("regulatory_mapping"), F.col("decision.action").alias("action")))
 
@@ -490,9 +491,9 @@ USE = f"""use AS (SELECT event_id, ts, u.model, CAST(user_id % 7 AS VARCHAR) AS
   LEFT JOIN (SELECT model, CAST(a AS DOUBLE) AS pp, CAST(b AS DOUBLE) AS pc FROM (VALUES {_prices}) v(model, a, b)) x USING (model))"""
 
 
-@query("cost_by_model", f"WITH {USE} SELECT model, count(*) AS n, round(sum(cost_usd), 6) AS cost_usd FROM use GROUP BY model")
+@query("cost_by_model", f"WITH {USE} SELECT model, count(*) AS n, round(sum(cost_usd), 9) AS cost_usd FROM use GROUP BY model")
 def _(spark, d):
-    return _usages(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return _usages(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
 
 
 _NOW = "2024-01-20 12:00:00"
@@ -500,25 +501,25 @@ _NOW = "2024-01-20 12:00:00"
 
 @query("budget_status", f"""WITH {USE}, b AS (SELECT * FROM (VALUES ('tenant', '1', 0.05, 'daily'), ('tenant', '2', 0.5, 'weekly'), ('tenant', '3', 5.0, 'monthly'), ('tenant', '4', 0.0, 'daily'), ('api_key', '11', 0.001, 'monthly')) v(scope, scope_id, amount, period)),
   s AS (SELECT scope, scope_id, amount, period, coalesce((SELECT sum(cost_usd) FROM use WHERE (CASE scope WHEN 'tenant' THEN tenant_id ELSE api_key END) = scope_id AND ts <= TIMESTAMP '{_NOW}' AND ts >= date_trunc(CASE period WHEN 'daily' THEN 'day' WHEN 'weekly' THEN 'week' ELSE 'month' END, TIMESTAMP '{_NOW}')), 0.0) AS spent FROM b)
-  SELECT scope, scope_id, round(spent, 6) AS spent_usd, round(greatest(amount - spent, 0.0), 6) AS remaining_usd, round(CASE WHEN amount > 0 THEN least(spent / amount * 100, 100.0) ELSE 0.0 END, 6) AS utilization_pct FROM s""")
+  SELECT scope, scope_id, round(spent, 9) AS spent_usd, round(greatest(amount - spent, 0.0), 9) AS remaining_usd, round(CASE WHEN amount > 0 THEN least(spent / amount * 100, 100.0) ELSE 0.0 END, 9) AS utilization_pct FROM s""")
 def _(spark, d):
     b = spark.createDataFrame([("tenant", "1", 0.05, "daily"), ("tenant", "1", 0.01, "daily"), ("tenant", "2", 0.5, "weekly"), ("tenant", "3", 5.0, "monthly"), ("tenant", "4", 0.0, "daily"), ("api_key", "11", 0.001, "monthly")], "scope string, scope_id string, amount_usd double, period string")
     s = economics.spent(_usages(spark, d), b, F.lit(_NOW).cast("timestamp")).withColumn("s", economics.budget_status(F.col("amount_usd"), F.col("spent_usd")))
-    return s.select("scope", "scope_id", F.round("spent_usd", 6).alias("spent_usd"), F.round("s.remaining_usd", 6).alias("remaining_usd"), F.round("s.utilization_pct", 6).alias("utilization_pct"))
+    return s.select("scope", "scope_id", F.round("spent_usd", 9).alias("spent_usd"), F.round("s.remaining_usd", 9).alias("remaining_usd"), F.round("s.utilization_pct", 9).alias("utilization_pct"))
 
 
-@query("running_spend", f"WITH {USE} SELECT event_id, round(sum(cost_usd) OVER (PARTITION BY tenant_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_usd FROM use")
+@query("running_spend", f"WITH {USE} SELECT event_id, round(sum(cost_usd) OVER (PARTITION BY tenant_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_usd FROM use")
 def _(spark, d):
-    return economics.running_spend(_usages(spark, d), ["tenant_id"], "daily").select("event_id", F.round("running_usd", 6).alias("running_usd"))
+    return economics.running_spend(_usages(spark, d), ["tenant_id"], "daily").select("event_id", F.round("running_usd", 9).alias("running_usd"))
 
 
 for _period, _unit in (("daily", "day"), ("weekly", "week"), ("monthly", "month")):
 
     def _spend(spark, d, period=_period):
         u = _usages(spark, d).withColumn("start", economics.period_start(F.col("ts"), F.lit(period)))
-        return u.groupBy("tenant_id", F.date_format("start", "yyyy-MM-dd").alias("period_start")).agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.max(F.date_format(economics.reset_at(F.col("ts"), F.lit(period)), "yyyy-MM-dd")).alias("reset_at"))
+        return u.groupBy("tenant_id", F.date_format("start", "yyyy-MM-dd").alias("period_start")).agg(F.round(F.sum("cost_usd"), 9).alias("cost_usd"), F.max(F.date_format(economics.reset_at(F.col("ts"), F.lit(period)), "yyyy-MM-dd")).alias("reset_at"))
 
-    query(f"spend_{_period}", f"WITH {USE} SELECT tenant_id, strftime(date_trunc('{_unit}', ts), '%Y-%m-%d') AS period_start, round(sum(cost_usd), 6) AS cost_usd, max(strftime(date_trunc('{_unit}', ts) + INTERVAL 1 {_unit}, '%Y-%m-%d')) AS reset_at FROM use GROUP BY ALL")(_spend)
+    query(f"spend_{_period}", f"WITH {USE} SELECT tenant_id, strftime(date_trunc('{_unit}', ts), '%Y-%m-%d') AS period_start, round(sum(cost_usd), 9) AS cost_usd, max(strftime(date_trunc('{_unit}', ts) + INTERVAL 1 {_unit}, '%Y-%m-%d')) AS reset_at FROM use GROUP BY ALL")(_spend)
 
 
 @query("rate_limit", f"WITH {USE}, c AS (SELECT date_trunc('minute', ts) AS m, tenant_id, count(*) AS n FROM use GROUP BY ALL) SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute, tenant_id AS scope_id, n FROM c WHERE tenant_id IN ('1', '2', '3') AND n > 1")
@@ -528,13 +529,13 @@ def _(spark, d):
     return r.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "scope_id", "n")
 
 
-@query("usage_parse", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE event_id % 50 END AS prompt_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 50 + 9 WHEN 1 THEN event_id % 50 + 7 END AS total_tokens FROM events")
+@query("usage_parse", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN -1 ELSE event_id % 50 END AS prompt_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 50 + 9 WHEN 1 THEN event_id % 50 + 7 ELSE -1 END AS total_tokens FROM events")
 def _(spark, d):
     n = (F.col("event_id") % 50).cast("string")
     bodies = F.array(F.concat(F.lit('{"usage":{"prompt_tokens":'), n, F.lit(',"completion_tokens":9,"total_tokens":'), (F.col("event_id") % 50 + 9).cast("string"), F.lit("}}")), F.concat(F.lit('{"usage":{"input_tokens":'), n, F.lit(',"output_tokens":7}}')), F.lit('{"usage":{}}'))
     k = (F.col("event_id") % 3 + 1).cast("int")
     u = economics.usage(F.element_at(bodies, k), F.element_at(F.array(F.lit("openai"), F.lit("anthropic"), F.lit("openai")), k))
-    return table(spark, d, "events").select("event_id", u["prompt_tokens"].alias("prompt_tokens"), u["total_tokens"].alias("total_tokens"))
+    return table(spark, d, "events").select("event_id", *(F.coalesce(u[c], F.lit(-1).cast("long")).alias(c) for c in ("prompt_tokens", "total_tokens")))
 
 
 # --- operations -------------------------------------------------------------------------
@@ -633,8 +634,6 @@ for _p in ("openai", "anthropic", "gemini"):
 
 @query("bedrock_frames")
 def _(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(t: pd.Series) -> pd.Series:
         return t.map(lambda x: frames.encode_bedrock("contentBlockDelta", x.encode()) + frames.encode_bedrock("messageStop", b"{}"))

@@ -149,9 +149,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     built = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(built)
-    out = [new.alias(c) if c == "text" else F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.char_length(built)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return joined.select(*out)
+    changed = F.col("_spans").isNotNull()
+    rebuilt = joined.withColumn("_new", F.when(changed, built).otherwise(F.col("text")))
+    size = F.when(changed, F.length("_new")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))
+    out = [F.col("_new").alias(c) if c == "text" else size.cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    return rebuilt.select(*out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,93 @@
+"""Spans of personal data and secrets against plain regular expressions."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from palisade.llm import op2_pii, op3_secrets
+from palisade.llm.op3_secrets import Rule
+
+
+def spans_pii(t):
+    out = []
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t, re.A):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = (True, k != 1 or all(int(x) <= 255 for x in m.group().split(".")), k != 2 or 12 <= len(digits) <= 19 and op2_pii.luhn(digits), k != 3 or 9 <= len(digits) <= 15)[k]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_on_random_texts():
+    rnd = random.Random(5)
+    parts = ["a.b@c.de", "@", "x@y", "x@y.z@w.v", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (415) 555-0134", "+1", "++49 30 1234567", " ", "é", "007.01.1.1", "12", ".", "-", "a%b+c@d-e.f-g", "0" * 13, "\n"]
+    for _ in range(4000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert op2_pii.base_spans(t) == spans_pii(t), t
+
+
+def test_luhn():
+    assert op2_pii.luhn("4111111111111111") and not op2_pii.luhn("4111111111111112")
+
+
+def test_reliabilities_come_out_of_votes(spark):
+    docs = spark.createDataFrame([(i, f"call me on (415) 555-{1000 + i} today" if i % 3 else f"version 000-00-{1000 + i} of it") for i in range(300)], "doc_id long, text string")
+    model = op2_pii.fit(docs)
+    assert set(model.prior) == {"phone_local", "ssn"} and model.prior["phone_local"] > model.prior["ssn"]
+    rows = {r.doc_id: r for r in op2_pii.find(docs, model).collect()}
+    assert rows[1].spans.startswith("phone_local:") and rows[0].spans == "" and rows[1].n_phone == 0
+    assert op2_pii.redact(docs, model).where("doc_id = 1").first().text == "call me on [PII] today"
+
+
+def test_pii_odd_rows(odd, empty):
+    rows = op2_pii.find(odd).collect()
+    assert len(rows) == 10 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert op2_pii.find(empty).count() == 0 and op2_pii.redact(odd).columns == odd.columns
+
+
+def spans_secrets(t):
+    out = []
+    for k, (p, g, least) in enumerate(((r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24))):
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, t, re.A) if len(m[g]) >= least]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def secret_texts():
+    rnd = random.Random(7)
+    parts = ["password=hunter2x", "token = abc", "secret=token: abcdefgh", "API_KEY: '0123456789abcdef01234567'", "AKIA" + "Z" * 16, "AKIAAKIA" + "Q" * 12, "AKIA1", "f" * 24, "f" * 23, "é", " ", "\n", "x", "passwd'=\"q_q.q/q", "Token==", "deadbeef" * 4]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 10))) for _ in range(600)]
+
+
+def test_secret_spans(spark, secret_texts):
+    docs = spark.createDataFrame(list(enumerate(secret_texts)), "doc_id long, text string")
+    for r in op3_secrets.report(docs).collect():
+        want = spans_secrets(secret_texts[r.doc_id])
+        text = ",".join(f"{op3_secrets.BASE_KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), (secret_texts[r.doc_id], text, r.spans)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
+
+
+def test_ledger_scans_unseen_pairs_only(spark, secret_texts):
+    docs = spark.createDataFrame(list(enumerate(secret_texts[:60])), "doc_id long, text string")
+    ledger = op3_secrets.scan(docs.where("doc_id < 30")).cache()
+    rest = op3_secrets.scan(docs, ledger)
+    seen = {(r.blob, r.rule) for r in ledger.collect()}
+    new = {(r.blob, r.rule) for r in rest.collect()}
+    blobs = {hashlib.sha256(t.encode()).hexdigest() for t in secret_texts[:60]}
+    assert not seen & new and len(seen | new) == len(blobs) * len(op3_secrets.RULES)
+    key = lambda d: sorted((r.doc_id, r.spans) for r in d.collect())
+    assert key(op3_secrets.report(docs, ledger)) == key(op3_secrets.report(docs))
+    bumped = (Rule("assign", op3_secrets.RULES[0].pattern, 2, 6, version=2), *op3_secrets.RULES[1:])
+    assert {r.rule for r in op3_secrets.scan(docs.where("doc_id < 30"), ledger, bumped).collect()} == {"assign@2"}
+
+
+def test_secret_redaction_and_odd_rows(spark, odd, empty):
+    docs = spark.createDataFrame([(1, "a password=hunter2x b AKIA" + "Z" * 16, 5, 9), (2, "clean", 5, 9), (3, None, None, None)], "doc_id long, text string, n_chars long, blob long")
+    rows = {r.doc_id: r for r in op3_secrets.redact(docs).collect()}
+    assert rows[1].text == "a [SECRET] b [SECRET]" and rows[1].n_chars == len(rows[1].text) and rows[2].text == "clean" and rows[2].n_chars == 5 and rows[3].text is None
+    assert op3_secrets.redact(odd).columns == odd.columns and op3_secrets.redact(odd).count() == 10
+    assert op3_secrets.report(odd).count() == 10 and op3_secrets.report(empty).count() == 0

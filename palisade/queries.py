@@ -40,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text scans on all cores: a small table in few files is dealt out first, others are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 256 << 20
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 def q(s: str) -> str:
     """A string as a SQL literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -73,7 +80,7 @@ def any_rx(t: str, patterns) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "lang", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(PROBES, F.col("doc_id"))).alias("t"))
 
 
@@ -163,7 +170,7 @@ def _(spark, d):
 @query("url_features", f"SELECT page_id, CAST(len(regexp_extract_all(html, {q(URL)})) AS BIGINT) AS url_count, {rx('html', URL_WITH_PARAMS)} AS has_params FROM pages")
 def _(spark, d):
     h = F.col("html")
-    return table(spark, d, "pages").select("page_id", det.count_urls(h).alias("url_count"), det.has_params(h).alias("has_params"))
+    return spread(table(spark, d, "pages")).select("page_id", det.count_urls(h).alias("url_count"), det.has_params(h).alias("has_params"))
 
 
 # --- tools ----------------------------------------------------------------------------
@@ -171,7 +178,7 @@ def _(spark, d):
 
 def _event_tools(spark, d) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, d, "events").select("event_id", F.array(pick(TOOLS, e), pick(TOOLS, F.floor(e / 3)), F.col("event_type")).alias("tools"))
+    return spread(table(spark, d, "events")).select("event_id", F.array(pick(TOOLS, e), pick(TOOLS, F.floor(e / 3)), F.col("event_type")).alias("tools"))
 
 
 EVENT_TOOLS = f"et AS (SELECT event_id, [{duck_pick(TOOLS, 'event_id')}, {duck_pick(TOOLS, '(event_id // 3)')}, event_type] AS tools FROM events)"
@@ -345,7 +352,7 @@ _RESP = ("identity_claim", "confidential", "bias", "exfiltration")
 
 def _responses(spark, d) -> DataFrame:
     t = F.concat("text", F.lit(" "), pick(PROBES, F.col("conv_id") + F.col("turn")))
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", t.alias("t"))
+    rows = spread(table(spark, d, "conversations")).where("role = 'assistant'").select("conv_id", "turn", t.alias("t"))
     return rows.select("conv_id", "turn", F.lit("llm.response").alias("action"), *(det.detected(F.col("t"), n).alias(f"{n}_detected") for n in _RESP))
 
 

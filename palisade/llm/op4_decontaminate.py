@@ -242,8 +242,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = WINDOW, w
         if not text:
             return text
         raw = text.encode("utf-8", "replace")
-        spans = [m.span() for m in _WORD.finditer(raw)]
-        tokens = [raw[a:b].lower() for a, b in spans]
+        low = raw.lower()  # ASCII letters alone; lengths stay
+        spans = [m.span() for m in _WORD.finditer(low)]
+        tokens = [low[a:b] for a, b in spans]
         keep, gone = np.ones(len(raw), bool), False
         for sam in blocks:
             for a, b, _ in sam.value.scan(tokens)[0]:

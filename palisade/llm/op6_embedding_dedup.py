@@ -199,7 +199,8 @@ def _search(model):
             return None
         a, b = np.concatenate(pa_), np.concatenate(pb)
         root = _forest(len(rows), a, b)
-        keep = np.flatnonzero(links)
+        # Points that only tie others together count no link here but are part of the forest.
+        keep = np.flatnonzero((links > 0) | (root != np.arange(len(root))))
         return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(links[keep]), pa.array(nodes[root[keep]])], names=["node", "links", "hub"])
 
     def run(batches):

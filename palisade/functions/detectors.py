@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.gates import matches
 from palisade.functions.patterns import DETECTOR_VERSIONS, DETECTORS, TOOL_CATEGORIES, TOOL_NAME_IN_TEXT, URL, URL_WITH_PARAMS, Pattern
 
 #: Shorter user texts (in bytes) are not scanned in requests.
@@ -24,24 +25,25 @@ def findings(text: Column, patterns: Sequence[Pattern]) -> Column:
     rows = []
     for p in patterns:
         first = F.regexp_substr(text, F.lit(p.regex))
-        rows.append(F.when(text.rlike(p.regex), F.struct(F.lit(p.name).alias("pattern_name"), F.lit(p.category).alias("category"), F.lit(1.0).alias("confidence"), (F.instr(text, first) - 1).cast("int").alias("offset"), truncate_match(first).alias("matched_text"))))
+        rows.append(F.when(matches(text, p.regex), F.struct(F.lit(p.name).alias("pattern_name"), F.lit(p.category).alias("category"), F.lit(1.0).alias("confidence"), (F.instr(text, first) - 1).cast("int").alias("offset"), truncate_match(first).alias("matched_text"))))
     return F.coalesce(F.filter(F.array(*rows), lambda x: x.isNotNull()), F.array().cast(f"array<{_FINDING}>"))
 
 
 def names(text: Column, patterns: Sequence[Pattern]) -> Column:
-    return F.filter(F.array(*(F.when(text.rlike(p.regex), F.lit(p.name)) for p in patterns)), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(matches(text, p.regex), F.lit(p.name)) for p in patterns)), lambda x: x.isNotNull())
 
 
 def detected(text: Column, detector: str) -> Column:
     found = F.lit(False)
     for p in DETECTORS[detector]:
-        found = found | text.rlike(p.regex)
+        found = found | matches(text, p.regex)
     return F.coalesce(found, F.lit(False))
 
 
 def first_category(text: Column, patterns: Sequence[Pattern]) -> Column:
     """Category of the first matching pattern in catalog order."""
-    return F.coalesce(*(F.when(text.rlike(p.regex), F.lit(p.category)) for p in patterns), F.lit(""))
+    hits = F.filter(F.array(*(F.when(matches(text, p.regex), F.lit(p.category)) for p in patterns)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
 
 
 def detect(text: Column, detector: str) -> Column:

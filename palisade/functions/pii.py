@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.gates import matches
 from palisade.functions.patterns import PII, PII_PRESETS, PiiPattern
 
 #: Shorter texts (in bytes) are not scanned.
@@ -41,13 +42,13 @@ def preset(name: str) -> tuple[PiiPattern, ...]:
 def has_pii(text: Column, patterns: Sequence[PiiPattern] = PII) -> Column:
     found = F.lit(False)
     for p in patterns:
-        found = found | text.rlike(p.regex)
+        found = found | matches(text, p.regex)
     return F.coalesce(found, F.lit(False))
 
 
 def pattern_names(text: Column, patterns: Sequence[PiiPattern] = PII) -> Column:
     """Names of the patterns that match, in scan order."""
-    hits = F.array(*(F.when(text.rlike(p.regex), F.lit(p.name)) for p in patterns))
+    hits = F.array(*(F.when(matches(text, p.regex), F.lit(p.name)) for p in patterns))
     return F.when(F.octet_length(text) >= LEAST_BYTES, F.filter(hits, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
@@ -55,7 +56,7 @@ def scan_only(text: Column, location: str, patterns: Sequence[PiiPattern] = PII)
     """Findings by count, most first (ties in scan order), all counted on the original text."""
     rows = []
     for i, p in enumerate(patterns):
-        n = F.when(text.rlike(p.regex), F.regexp_count(text, F.lit(p.regex)))
+        n = F.when(matches(text, p.regex), F.regexp_count(text, F.lit(p.regex)))
         rows.append(F.when(n > 0, F.struct((-n).alias("k"), F.lit(i).alias("i"), F.lit(p.name).alias("pattern"), F.lit(p.token).alias("redacted_to"))))
     ordered = F.array_sort(F.filter(F.array(*rows), lambda x: x.isNotNull()))
     findings = F.transform(ordered, lambda x: F.struct(x["pattern"], x["redacted_to"], (-x["k"]).cast("int").alias("count"), F.lit(location).alias("location")))
@@ -76,7 +77,7 @@ def scan_and_redact(df: DataFrame, text: str, location: str, patterns: Sequence[
     out = df.withColumn("_r0", F.col(text))
     for i, p in enumerate(patterns):
         quoted = p.token.replace("\\", "\\\\").replace("$", "\\$")
-        here = (F.octet_length(text) >= LEAST_BYTES) & F.col(text).rlike(p.regex)
+        here = (F.octet_length(text) >= LEAST_BYTES) & matches(F.col(text), p.regex)
         out = out.withColumn(f"_r{i + 1}", F.when(here, F.regexp_replace(F.col(f"_r{i}"), p.regex, quoted)).otherwise(F.col(f"_r{i}")))
     rows = []
     for i, p in enumerate(patterns):

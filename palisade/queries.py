@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Text scans on all cores: a small table in few files is dealt out first, others are read as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 256 << 20
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 256 << 20
     return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 

@@ -104,3 +104,12 @@ def test_projections(spark):
     assert one(spark, text.trace_context(F.col("t")), t="00-" + "0" * 32 + "-" + "b" * 16 + "-01") is None
     assert one(spark, text.user_text(F.col("t")), t='{"prompt":"p"}') == "p"
     assert one(spark, text.action_of_path(F.col("t")), t="/v1/embeddings") == "embedding.create"
+
+
+def test_gates_let_every_match_through():
+    from palisade.functions.gates import literals
+
+    for p in [*PII, *(p for ps in DETECTORS.values() for p in ps)]:
+        for m in re.finditer(p.regex, "\n".join(PROBES)):
+            assert not literals(p.regex) or any(s in m.group().lower() for s in literals(p.regex)), p.name
+    assert literals("(?i)\\bIGNORE\\s+(all|any)") == ("ignore",) and literals("[0-9]+") == () and literals("a?b") == ()

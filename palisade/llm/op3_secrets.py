@@ -139,8 +139,8 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every found span replaced; n_chars follows where there is such a column."""
-    found = blob_findings(docs, None, rules).withColumnRenamed("blob", "_blob").withColumnRenamed("spans", "_spans")
-    joined = docs.withColumn("_key", blob_id(F.col("text"))).join(found, F.col("_key") == F.col("_blob"), "left")
+    found = blob_findings(docs, None, rules).withColumnRenamed("blob", "__op3_blob").withColumnRenamed("spans", "__op3_spans")
+    joined = docs.withColumn("__op3_key", blob_id(F.col("text"))).join(found, F.col("__op3_key") == F.col("__op3_blob"), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -148,11 +148,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    built = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    changed = F.col("_spans").isNotNull()
-    rebuilt = joined.withColumn("_new", F.when(changed, built).otherwise(F.col("text")))
-    size = F.when(changed, F.length("_new")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))
-    out = [F.col("_new").alias(c) if c == "text" else size.cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    built = F.aggregate("__op3_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    changed = F.col("__op3_spans").isNotNull()
+    rebuilt = joined.withColumn("__op3_new", F.when(changed, built).otherwise(F.col("text")))
+    size = F.when(changed, F.length("__op3_new")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))
+    out = [F.col("__op3_new").alias(c) if c == "text" else size.cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return rebuilt.select(*out)
 
 

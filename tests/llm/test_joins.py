@@ -82,6 +82,25 @@ def test_cells_meet():
             assert set(op5.cells(a, 85).tolist()) & set(op5.cells(b, 85).tolist())
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_more_groups_than_differences(percent):
+    """However the differing shingles fall, they cannot touch every group of a set."""
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 300, 3), 511, 512, 1023, 1024, 2047, 4095]:
+        s = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        most = (100 - percent) * (n + 100 * n // percent) // (100 + percent) + 1
+        bands = 1 if 100 * n < percent << n.bit_length() else 2
+        assert len(op5.cells(s, percent)) == most * bands
+
+
+def test_jaccard_at_the_looser_threshold(spark, near):
+    docs = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
+    sets = [shingles(t, 5) for t in near]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = closure(len(sets), pairs)
+    assert {r.doc_id: r.component_id for r in op5.link_components(docs, 5, 80).collect()} == dict(enumerate(want))
+
+
 def test_jaccard_odd_rows(odd, empty):
     rows = op5.link_components(odd).collect()
     assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (5, 7)} == {5}

@@ -33,3 +33,11 @@ def test_stages(spark, data, tmp_path):
 def test_run(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert rows.count() > 100 and set(rows.columns) >= {"doc_id", "text", "token_ids", "n_tokens"}
+
+
+def test_jaccard_takes_five_words_and_four_fifths(spark, data):
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words + [f"x{i}" for i in range(25)]), " ".join([f"y{i}" for i in range(104)]), " ".join([f"y{i}" for i in range(104)] + [f"z{i}" for i in range(26)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # 100 of 125 shingles are shared, then 100 of 126.
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard(spark, docs, data).collect()) == [0, 2, 3]

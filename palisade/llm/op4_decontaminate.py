@@ -8,10 +8,12 @@ one window of its own length.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to
 the executors is bounded whatever the size of the benchmark; each further block
-is a further pass over the documents, merged by document.
+is a further pass over the documents, merged by id and text; every row keeps a
+row of its own.
 
 Null or empty texts have no words and are never contaminated.  Items with no
-words are ignored.  Repeated items keep their own ids.  Further columns of the
+words are ignored.  Items that repeat a text keep their own ids; an id counts
+once a document.  Further columns of the
 documents are left out of the report and kept by ``clean``.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,30 +185,28 @@ def _scanner(automaton):
                 hit, seen = sam.scan(tokens)
                 counts.append(len(tokens))
                 runs.append([{"first": a, "end": b, "longest": n} for a, b, n in hit])
-                items.append(sorted(sam.items[i] for i in seen))
+                items.append(sorted({sam.items[i] for i in seen}))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("longest", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "runs", "items"],
+                [ids, pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("longest", pa.int32())]))), pa.array(items, pa.list_(pa.string())), *batch.columns[2:]],
+                names=["doc_id", "n_words", "runs", "items", *batch.schema.names[2:]],
             )
 
     return scan
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: words, hit runs of words and the items whose windows occur (see SCHEMA)."""
+    """Per row: words, hit runs of words and the items whose windows occur (see SCHEMA)."""
     spark = prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = []
-    for block in _blocks(benchmark, block_words):
-        sam = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        found.append(source.mapInArrow(_scanner(sam), SCHEMA))
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
-    return merged.select("doc_id", "n_words", _union("runs").alias("runs"), F.array_sort(F.array_distinct("items")).alias("items"))
+    sams = [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(benchmark, block_words)]
+    if len(sams) == 1:
+        return source.mapInArrow(_scanner(sams[0]), SCHEMA)
+    # Rows of equal id and text have equal results, which are merged once and joined to every one of them.
+    keyed = source.withColumn("key", F.md5("text"))
+    every = [keyed.mapInArrow(_scanner(sam), f"{SCHEMA}, key string") for sam in sams]
+    merged = reduce(DataFrame.unionByName, every).groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
+    merged = merged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n_words", _union("runs").alias("runs"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return keyed.select("doc_id", "key").join(merged, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))).select("doc_id", "n_words", "runs", "items")
 
 
 def _union(col: str):

@@ -60,3 +60,14 @@ def test_odd_rows(spark, odd, empty):
     assert len(rows) == 10 and sum(r.contaminated for r in rows) == 2
     assert op.report(empty, bench).count() == 0 and op.report(odd, bench.where("false")).where("n_hit > 0").count() == 0
     assert op.clean(odd, bench).count() == 8
+
+
+def test_odd_rows_and_repeated_items_in_blocks(spark, odd):
+    bench = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "text of that id"), (3, "no id at all here"), (1, "one two")], "item_id long, text string")
+    more = odd.unionByName(odd.where("doc_id is null")).unionByName(spark.createDataFrame([(None, "one two three of null", "en", "s", 21, "x")], odd.schema))
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    whole = key(op.report(more, bench))
+    assert len(whole) == 12 and whole == key(op.report(more, bench, block_words=3))
+    one = hashlib.sha256(b"1").hexdigest()
+    assert sorted(((r[0] or -1), r[2], r[3]) for r in whole if r[5]) == [(-1, 3, 1), (-1, 5, 1), (-1, 5, 1), (4, 3, 1), (4, 3, 1), (4, 4, 1)]
+    assert {r[4] for r in whole if r[0] == 4 and r[2] == 3} == {one}

@@ -93,12 +93,20 @@ SWAP_COST = 1.0
 DROP_COST = 0.3
 KEEP_REPEAT_COST = 1.5
 
-_LEET = re.compile(r"(?=.*[a-z])(?=.*[0-9@$!|+(<€£*])[a-z0-9@$!|+(<€£*]+")
-_REPEAT = re.compile(r"([a-z])\1\1")
-_SPACED = re.compile(r"(?<![^\s])(?:[a-z0-9@$!|+(<*][ .\-_*]{1,2}){3,}[a-z0-9@$!|+(<*](?![^\s.,;:?])")
+_LEET = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(<€£*])(?:[^\W_]|[@$!|+(<€£*])+")
+_REPEAT = re.compile(r"([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?<![^\s])(?:(?:[^\W_]|[@$!|+(<€£*])[ .\-_*]{1,2}){2,}(?:[^\W_]|[@$!|+(<€£*])(?![^\s.,;:?])")
 _EDGE = re.compile(r"^[^a-z0-9@$|+(<\x80-\U0010ffff]+|[^a-z0-9@$+\x80-\U0010ffff]+$")
 
 
+def _letters(path: tuple) -> str:
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
 class Decoder:
     """Viterbi decoding of suspicious words, and the evidence of restored texts."""
 
@@ -115,8 +123,8 @@ class Decoder:
                 runs[-1] = ch, runs[-1][1] + 1
             else:
                 runs.append((ch, 1))
-        # State: the two symbols before; value: (cost, letters).
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # State: the two symbols before; value: (cost, letters as a chain to the path before them).
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for ch, n in runs:
             readings = [(c, SWAP_COST) for c in LOOKALIKES.get(ch, "")]
             if "a" <= ch <= "z" or ch > "\x7f":
@@ -129,8 +137,8 @@ class Decoder:
                 edges.append((c, cost + (DROP_COST if n > 1 else 0)))
                 if n > 1:
                     edges.append((c + c, 2 * cost + (KEEP_REPEAT_COST if n > 2 else 0)))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, text) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (total, path) in states.items():
                 for letters, cost in edges:
                     x, y, t = a, b, total + cost
                     for c in letters:
@@ -138,17 +146,19 @@ class Decoder:
                         t -= float(self.model[x, y, z])
                         x, y = y, z
                     if (old := new.get((x, y))) is None or t < old[0]:
-                        new[x, y] = t, text + letters
+                        new[x, y] = t, (path, letters)
             # One survivor for each pair of symbols: at most SYMBOLS ** 2.
             states = new
-        return min((t - float(self.model[a, b, 0]), text) for (a, b), (t, text) in states.items())[1]
+        ends = [(t - float(self.model[a, b, 0]), path) for (a, b), (t, path) in states.items()]
+        least = min(t for t, _ in ends)
+        return min(_letters(path) for t, path in ends if t == least)
 
     def readings(self, word: str) -> tuple[str, ...]:
         """The word without marks around it and, where it is suspicious, restored."""
         bare = _EDGE.sub("", word)
         if not bare:
             return ()
-        if len(bare) <= 40 and (_LEET.fullmatch(bare) or _REPEAT.search(bare)):
+        if _LEET.fullmatch(bare) or _REPEAT.search(bare):
             return bare, self.restore(bare)
         return (bare,)
 

@@ -56,6 +56,29 @@ def test_evidence_of_disguised_words():
     assert d.evidence("a l0ser")[0] == 5.0 and d.evidence("you l o s e r there")[0] == 5.0 and d.evidence("lovely")[0] == 0.0 and d.evidence("")[:3] == (0, 0, 0)
 
 
+@pytest.mark.parametrize(
+    ("word", "text"),
+    [
+        ("loser", "a lo" + "o" * 40 + "ser"),
+        ("loser", "l" * 50 + "0" * 50 + "ser"),
+        ("loser*", " ".join("l0ser" + "abcdefghij" * 4)),
+        ("fou", "un f o u là"),
+        ("blöd", "so b l ö d"),
+        ("schön", "so 5chön"),
+        ("blöd", "so bl" + "ö" * 45 + "d"),
+        ("señor", "5eñ0r"),
+    ],
+)
+def test_evidence_of_every_form(word, text):
+    uniform = np.full((op.SYMBOLS,) * 3, -np.log(op.SYMBOLS), np.float32)
+    assert op.Decoder(uniform, {word: 5.0}).evidence(text)[0] == 5.0
+
+
+def test_long_words_take_linear_time(fitted):
+    d = op.Decoder(fitted[0])
+    assert len(d.restore("ab4" * 30_000)) == 90_000 and len(d.restore("a" * 500_000)) <= 2
+
+
 def test_held_out_rows(spark):
     rows = op.query(spark, DATA).toPandas()
     labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()

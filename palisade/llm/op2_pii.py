@@ -45,7 +45,7 @@ _LOOSE = (
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
 )
-_WRITTEN = re.compile(r"\b[A-Za-z0-9_]{1,64}(?:[.%+-][A-Za-z0-9_]{1,32}){0,4} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,4}")
+_WRITTEN = re.compile(r" ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]+)+")
 _DIGIT = re.compile("[0-9]")
 
 #: Gazetteers (fixed values).
@@ -135,7 +135,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     touch = text[start - 1 : start] + text[end : end + 1]
     return (
         1 if kind in BASE else 0,
-        _gazetteer(kind, s[:128], digits[:64]),
+        _gazetteer(kind, s, digits),
         1 if _FOR[_KIND_OF.get(kind, kind)].search(before) else 0,
         -1 if _AGAINST.search(before) else 0,
         1 if kind.startswith("email") or len(set(digits)) > 2 else -1,
@@ -149,13 +149,29 @@ def features(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     def side(c: str) -> int:
         return 0 if not c or c.isspace() else 1 if c.isalnum() else 2 if c in ".,;:!?)" else 3
 
-    s = text[start : min(end, start + 64)]
+    s = text[start:end]
     return KINDS.index(kind), min(5, (end - start) // 6), int(any(c in " -()" for c in s)), side(text[start - 1 : start]), side(text[end : end + 1])
 
 
 _SIZES = (len(KINDS), 6, 2, 4, 4)
 
 
+def _written(text: str) -> list[tuple[int, int]]:
+    """Addresses with a written-out "at": words joined by single marks, read back from it, and what follows it."""
+    out, last = [], 0
+    for m in _WRITTEN.finditer(text):
+        end = a = m.start()
+        while a > last and text[a - 1] in _LOCAL and not (text[a - 1] in ".%+-" and (a == end or text[a] in ".%+-")):
+            a -= 1
+        # A name starts where a word does.
+        while a < end and (text[a] in ".%+-" or a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+            a += 1
+        if a < end:
+            out.append((a, m.end()))
+            last = m.end()
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Base spans, and looser candidates that overlap none of them; by start, then kind."""
     spans = base_spans(text)
@@ -163,7 +179,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text):
         loose += [(m.start(), KINDS.index(k), m.end()) for k, p in _LOOSE for m in p.finditer(text)]
     if "at]" in text or "at)" in text or "at ]" in text or "at )" in text:
-        loose += [(m.start(), KINDS.index("email_written"), m.end()) for m in _WRITTEN.finditer(text)]
+        loose += [(a, KINDS.index("email_written"), b) for a, b in _written(text)]
     if loose:
         taken, i, edge, last = list(spans), 0, 0, 0
         for a, k, b in sorted(loose):

@@ -42,6 +42,17 @@ def test_reliabilities_come_out_of_votes(spark):
     assert op2_pii.redact(docs, model).where("doc_id = 1").first().text == "call me on [PII] today"
 
 
+def test_written_addresses_of_any_length():
+    kind = op2_pii.KINDS.index("email_written")
+    for name, host in [("jo", "mail"), ("n" * 70, "mail"), ("a.b.c.d.e.f.g", "mail"), ("n" * 60, "h" * 70), ("a" * 20, " [dot] ".join(["host"] * 12))]:
+        address = f"{name} [at] {host} [dot] com"
+        text = f"mail {address} now"
+        assert op2_pii.candidates(text) == [(5, kind, 5 + len(address))]
+        assert op2_pii.votes("email_written", text, 5, 5 + len(address))[1] == 1
+    assert op2_pii.features("email_written", "x" * 70 + " [at] y.com", 0, 81)[2] == 1
+    assert [(a, b) for a, _, b in op2_pii.candidates("éab.c..d-e (at) x.de, f(at)y.fr")] == [(7, 20), (22, 31)]
+
+
 def test_pii_odd_rows(odd, empty):
     rows = op2_pii.find(odd).collect()
     assert len(rows) == 10 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)

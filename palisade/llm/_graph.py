@@ -17,7 +17,7 @@ def _print(e: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge; a component is its least node.
+    """(node, component) of every node with an edge, as a table of ``cut``; a component is its least node.
 
     ``edges`` has columns a and b of type long.  A node's neighbours are only
     ever pre-aggregated to their minimum and joined back, so a node with very
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _print(e)
     if not before[0]:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        out = cut(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "labels")
+        discard(e)
+        return out
     for _ in range(MOST_STEPS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -40,4 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "labels")
+    discard(e)
+    return out

@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to Python: whole texts, so few rows.
+#: Rows and bytes in one Arrow batch sent to Python: whole texts, so few rows; a larger text is a batch of its own.
 ARROW_ROWS = 1024
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -21,6 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     where that is unset (single-machine tests) a local folder is used.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
@@ -64,6 +66,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,8 +16,10 @@ column of a Parquet folder, so writes go through Spark's committer to whatever
 store the path names, a lost executor's task is simply run again, and readers
 need no local files.
 
-Documents are ordered by id and, for repeated ids, by text; null ids come first.
-Null and empty texts hold the end id alone.  Other columns are not stored.
+Documents are ordered by id and, for repeated ids, by a hash of the text; null
+ids come first.  Shards are ranges of that order, so neither many null nor many
+repeated ids meet in one.  Null and empty texts hold the end id alone.  An empty table makes an
+empty store.  Other columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
@@ -44,38 +46,68 @@ _BLOCK = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "<u2"), ("exc", "<u2")
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> list[bytes]:
-    """Each block of ids as bytes."""
-    out = []
-    for i in range(0, len(ids), block):
-        x = ids[i : i + block].astype(np.uint32)
-        low = x.min()
-        rest = x - low
-        bound = int(np.partition(rest, k := min(len(rest) - 1, int(percentile * len(rest))))[k])
-        width = bound.bit_length()
-        over = np.flatnonzero(rest >> np.uint32(width) if width < 32 else np.zeros(len(rest), bool))
-        body = b""
-        if width:
-            bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
-            body = np.packbits(bits.ravel(), bitorder="little").tobytes()
-        head = np.array([(low, width, len(x), len(over))], _BLOCK).tobytes()
-        out.append(head + body + over.astype("<u2").tobytes() + rest[over].astype("<u4").tobytes())
+    """Each block of ids as bytes; blocks of one width are packed together."""
+    n = len(ids) // block
+    out = _packed(ids[: n * block].reshape(n, block).astype(np.uint32), percentile) if n else []
+    if n * block < len(ids):
+        out += _packed(ids[n * block :].reshape(1, -1).astype(np.uint32), percentile)
     return out
 
 
-def unpack_block(raw: bytes, at: int) -> np.ndarray:
-    low, width, n, exc = np.frombuffer(raw, _BLOCK, 1, at)[0].tolist()
-    at += _BLOCK.itemsize
-    size = (n * width + 7) // 8
-    rest = np.zeros(n, np.uint32)
-    if width:
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        wide = np.zeros((n, 32), np.uint8)
-        wide[:, :width] = bits
-        rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().copy()
-    at += size
-    if exc:
-        rest[np.frombuffer(raw, "<u2", exc, at)] = np.frombuffer(raw, "<u4", exc, at + 2 * exc)
-    return rest + np.uint32(low)
+def _packed(x: np.ndarray, percentile: float) -> list[bytes]:
+    """The rows of x as blocks."""
+    size = x.shape[1]
+    low = x.min(axis=1)
+    rest = x - low[:, None]
+    bound = np.partition(rest, k := min(size - 1, int(percentile * size)), axis=1)[:, k]
+    width = np.frexp(bound.astype(np.float64))[1].astype(np.uint32)
+    row, place = np.nonzero(rest.astype(np.uint64) >> width[:, None].astype(np.uint64))
+    n_over = np.bincount(row, minlength=len(x))
+    head = np.zeros(len(x), _BLOCK)
+    head["min"], head["width"], head["n"], head["exc"] = low, width, size, n_over
+    heads, places, wholes = head.tobytes(), place.astype("<u2").tobytes(), rest[row, place].astype("<u4").tobytes()
+    bodies = [b""] * len(x)
+    for w in np.unique(width[width > 0]).tolist():
+        of = np.flatnonzero(width == w)
+        bits = np.unpackbits(rest[of].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=w, bitorder="little")
+        packed = np.packbits(bits.reshape(len(of), -1), axis=1, bitorder="little")
+        for i, body in zip(of.tolist(), packed, strict=True):
+            bodies[i] = body.tobytes()
+    ends = np.cumsum(n_over).tolist()
+    each = _BLOCK.itemsize
+    return [
+        b"".join((heads[i * each : i * each + each], bodies[i], places[2 * (e - k) : 2 * e], wholes[4 * (e - k) : 4 * e]))
+        for i, (k, e) in enumerate(zip(n_over.tolist(), ends, strict=True))
+    ]
+
+
+def unpack_blocks(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """The ids of the blocks that begin at these bytes, in turn."""
+    heads = np.frombuffer(b"".join([raw[a : a + _BLOCK.itemsize] for a in at.tolist()]), _BLOCK)
+    n, width, exc = heads["n"].astype(np.int64), heads["width"].astype(np.int64), heads["exc"].astype(np.int64)
+    out = np.zeros(int(n.sum()), np.uint32)
+    first = np.cumsum(n) - n
+    body = at + _BLOCK.itemsize
+    for size, w in sorted(set(zip(n.tolist(), width.tolist(), strict=True))):
+        if not w:
+            continue
+        of = np.flatnonzero((n == size) & (width == w))
+        length = (size * w + 7) // 8
+        rows = np.frombuffer(b"".join([raw[a : a + length] for a in body[of].tolist()]), np.uint8).reshape(len(of), length)
+        # Each value lies within the few bytes after the one that its first bit is in.
+        bit = np.arange(size) * w
+        deep = 4 if w <= 25 else 5
+        kind = np.uint32 if deep == 4 else np.uint64
+        rows = np.pad(rows, ((0, 0), (0, deep)))
+        got = np.zeros((len(of), size), kind)
+        for k in range(deep):
+            got |= rows[:, (bit >> 3) + k].astype(kind) << kind(8 * k)
+        got = (got >> (bit & 7).astype(kind)) & kind((1 << w) - 1)
+        out[(first[of][:, None] + np.arange(size)).ravel()] = got.ravel()
+    tail = body + (n * width + 7) // 8
+    for f, a, k in zip(first[exc > 0].tolist(), tail[exc > 0].tolist(), exc[exc > 0].tolist(), strict=True):
+        out[f + np.frombuffer(raw, "<u2", k, a).astype(np.int64)] = np.frombuffer(raw, "<u4", k, a + 2 * k)
+    return out + np.repeat(heads["min"], n)
 
 
 def pack_segment(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
@@ -108,7 +140,7 @@ class Segment:
         if start >= stop:
             return np.zeros(0, np.uint32)
         first, last = start // BLOCK, (stop - 1) // BLOCK
-        got = np.concatenate([unpack_block(self.raw, self.body + int(self.index[b])) for b in range(first, last + 1)])
+        got = unpack_blocks(self.raw, self.body + self.index[first : last + 1])
         return got[start - first * BLOCK : stop - first * BLOCK]
 
 
@@ -149,7 +181,10 @@ def write_store(docs: DataFrame, path: str, model_path: str | None = None, shard
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards or parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Narrow keys, since a sample of them goes to the driver; the last one parts even rows that are alike.
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = source.select("*", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"))
+    ordered = keyed.repartitionByRange(shards or parts(spark), "doc_id", "hash", "part").sortWithinPartitions("doc_id", "hash", "part")
     ordered.mapInArrow(run, "shard int, segment int, start_in_shard long, n_ids long, payload binary").write.parquet(path)
 
 
@@ -168,7 +203,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(seg.sizes)
                 starts = ends - seg.sizes
                 ids = seg.ids()
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                little = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(little[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(seg.doc_ids)
                 yield pa.RecordBatch.from_arrays(
                     [

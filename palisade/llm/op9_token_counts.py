@@ -1,11 +1,13 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Batches are balanced by size rather than by rows, and long texts are cut where
-pre-tokens begin, so one very long text costs no more memory than many short
-ones and no token spans a cut.  The ids never leave the worker.
+Batches are balanced by UTF-8 bytes rather than by rows, and long texts are cut
+where pre-tokens begin, so one very long text costs no more memory than many
+short ones and no token spans a cut.  (Only a run without a border, as of one
+letter, stays whole.)  The ids never leave the worker.
 
 Null texts count as empty: 0 bytes, 0 tokens.  Every row gives one row, repeated
-ids included.  Other columns are left out.
+rows and null or repeated ids included; an empty table gives an empty one.
+Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

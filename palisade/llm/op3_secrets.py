@@ -1,18 +1,26 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-Each version of a text is a blob, named by its SHA-256.  The ledger holds one
-row for each blob and rule version that has been scanned, with the spans found.
-A scan takes the distinct blobs, drops the pairs that the ledger has, runs the
-rest, and joins the findings back to every path (document) that holds the blob.
+Each version of a text is a blob, named by its SHA-256.  The ledger is a Parquet
+folder with a row for each scan of a blob: the rule versions that ran and the
+spans that they found.  ``update`` takes the distinct blobs of a table, drops
+the pairs of blob and rule version that the ledger has, runs the rest and appends
+the rows; findings are joined back to every path (document) that holds the blob.
 Only built-in expressions run: no Python touches a row.
 
+Copies meet before they are scanned, so a rule runs once on each unseen blob,
+however many rows hold it; they are pre-aggregated before the shuffle.
+
 A rule's matches are leftmost and non-overlapping, as its pattern gives them;
 matches that fail the length test are dropped and not retried.  Spans count
 characters, end exclusive.
 
+The registered query and the pipeline's stage begin a ledger of their own in the
+shared folder; callers that keep one pass its path.
+
 Null texts count as empty.  Empty texts have no findings.  Rows with null or
-repeated ids are scanned and reported like all others.  Other columns are left
-out of reports and kept by ``redact``.
+repeated ids are scanned and reported like all others; an empty table gives an
+empty report.  Other columns, whatever their names, are left out of reports and
+kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import prepare, table
+from palisade.llm._spark import fresh, prepare, shared_path, table
 
 
 @dataclass(frozen=True)
@@ -53,6 +61,7 @@ RULES = (
 BASE_KINDS = ("assign", "access", "hex")
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+_LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:int,end:int>>"
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -77,48 +86,56 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rep, todo): distinct blobs with the rule versions they lack, and one document that holds each."""
-    blobs = docs.select(blob_id(F.col("text")).alias("blob"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("blob").agg(F.min("doc_id").alias("rep"))
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of a folder: blob, the rule versions of a scan, their spans.  A folder without one has no rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], _LEDGER)
+    return spark.read.schema(_LEDGER).parquet(path)
+
+
+def unseen(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, text, todo): distinct blobs with the rule versions that the ledger lacks."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    blobs = docs.select(blob_id(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
+    done = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     names = F.array(*(F.lit(r.name) for r in rules))
-    if ledger is None:
-        return blobs.withColumn("todo", names)
-    done = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-    todo = F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))
-    return blobs.join(done, "blob", "left").select("blob", "rep", todo.alias("todo")).where(F.size("todo") > 0)
+    todo = F.when(F.col("done").isNull(), names).otherwise(F.array_except(names, "done"))
+    return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob, rule, spans), one for each unseen pair; spans may be empty."""
+def scan(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows, one for each blob with unseen pairs; their spans may be empty."""
     prepare(docs.sparkSession)
-    held = _held(docs, unseen(docs, ledger, rules))
-    each = [F.struct(F.lit(r.name).alias("rule"), F.when(F.array_contains("todo", r.name), rule_spans(F.col("text"), r, k)).alias("spans")) for k, r in enumerate(rules)]
-    rows = held.select("blob", F.explode(F.array(*each)).alias("r")).select("blob", "r.rule", "r.spans").where("spans is not null")
-    return rows.dropDuplicates(["blob", "rule"])
+
+    def named(r: Rule) -> Column:
+        spans = F.when(F.array_contains("todo", r.name), rule_spans(F.col("text"), r, 0)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+        return F.transform(spans, lambda s: F.struct(F.lit(r.name).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+
+    return unseen(docs, ledger, rules).select("blob", F.col("todo").alias("rules"), F.concat(*(named(r) for r in rules)).alias("spans"))
 
 
-def _held(docs: DataFrame, todo: DataFrame) -> DataFrame:
-    """The text of each blob, taken from the document that stands for it."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    here = texts["doc_id"].eqNullSafe(todo["rep"])
-    return texts.join(todo.hint("shuffle_hash"), here & (F.sha2(texts["text"], 256) == todo["blob"])).select("blob", "text", "todo")
+def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ``path`` has not seen, append it, and return the ledger."""
+    spark = docs.sparkSession
+    scan(docs, open_ledger(spark, path), rules).write.mode("append").parquet(path)
+    return open_ledger(spark, path)
 
 
-def blob_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, spans) of all blobs with findings, by all rules, from the ledger and this scan."""
-    if ledger is None:
-        held = _held(docs, unseen(docs, None, rules))
-        spans = F.array_sort(F.concat(*(rule_spans(F.col("text"), r, k) for k, r in enumerate(rules))))
-        return held.select("blob", spans.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob"])
-    rows = scan(docs, ledger, rules).unionByName(ledger.where(F.col("rule").isin([r.name for r in rules])).select("blob", "rule", "spans"))
-    return rows.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+def blob_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of all blobs with findings by these rules: spans by start, then by the rules' order."""
+    names = [r.name for r in rules]
+    of_rules = F.filter("spans", lambda s: s["rule"].isin(names))
+    kind = F.array(*(F.lit(n) for n in names))
+    spans = F.transform(of_rules, lambda s: F.struct(s["start"].alias("start"), (F.array_position(kind, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
+    found = ledger.where(F.size(of_rules) > 0).select("blob", spans.alias("spans"))
+    return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, blob, spans) of every row of ``docs``; rows without findings have none."""
-    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(F.col("text")).alias("blob"))
-    found = blob_findings(docs, ledger, rules)
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans) of every row of ``docs``, from a ledger that has seen them; rows without findings have none."""
+    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(F.col("text").cast("string")).alias("blob"))
+    return paths.join(blob_findings(ledger, rules), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -130,17 +147,20 @@ def _of_kind(k: int):
     return lambda s: s["kind"] == k
 
 
-def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    found = findings(docs, ledger)
+def report(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Counts, digest and spans of every row; the ledger at ``path`` (or a new one) is brought up to date first."""
+    ledger = update(docs, path or shared_path(docs.sparkSession, "ledger"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
     counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined(base, RULES), 256).alias("base_sha256"), _joined(F.col("spans"), RULES).alias("spans"))
+    return findings(docs, ledger).select("doc_id", *counts, F.sha2(_joined(base, RULES), 256).alias("base_sha256"), _joined(F.col("spans"), RULES).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
     """The documents with every found span replaced; n_chars follows where there is such a column."""
-    found = blob_findings(docs, None, rules).withColumnRenamed("blob", "__op3_blob").withColumnRenamed("spans", "__op3_spans")
-    joined = docs.withColumn("__op3_key", blob_id(F.col("text"))).join(found, F.col("__op3_key") == F.col("__op3_blob"), "left")
+    blob, spans, key, new = fresh(docs, "blob", "spans", "key", "new")
+    ledger = update(docs, path or shared_path(docs.sparkSession, "ledger"), rules)
+    found = blob_findings(ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.withColumn(key, blob_id(F.col("text").cast("string"))).join(found, F.col(key) == F.col(blob), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -148,11 +168,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    built = F.aggregate("__op3_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    changed = F.col("__op3_spans").isNotNull()
-    rebuilt = joined.withColumn("__op3_new", F.when(changed, built).otherwise(F.col("text")))
-    size = F.when(changed, F.length("__op3_new")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))
-    out = [F.col("__op3_new").alias(c) if c == "text" else size.cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    built = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    changed = F.col(spans).isNotNull()
+    rebuilt = joined.withColumn(new, F.when(changed, built).otherwise(F.col("text")))
+    size = F.when(changed, F.length(new)).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))
+    out = [F.col(new).alias(c) if c == "text" else size.cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return rebuilt.select(*out)
 
 
@@ -160,20 +180,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-#: Matches by DuckDB; positions from the text between them.
+#: Matches by DuckDB; positions from the text between them.  Its patterns have no look-behind, so the character
+#: before a match is matched too and left out of the span (``g`` is the span's text or, for assign, the tested group).
 SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS (
-  SELECT doc_id, 0 AS k, 'assign' AS kind, 6 AS least, regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS a,
-         regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS g,
-         regexp_split_to_array(t, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS gaps FROM d
-  UNION ALL SELECT doc_id, 1, 'access', 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
-  UNION ALL SELECT doc_id, 2, 'hex', 24, regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_split_to_array(t, '[0-9a-f]{24,}') FROM d),
-p AS (SELECT doc_id, k, kind, least, unnest(a) AS a, unnest(g) AS g, unnest(list_transform(gaps[1 : len(a)], lambda x: length(x))) AS gap, unnest(range(1, len(a) + 1)) AS i FROM m WHERE len(a) > 0),
-q AS (SELECT doc_id, k, kind, least, g, length(a) AS n, sum(gap + length(a)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM p),
-f AS (SELECT doc_id, k, kind, CAST(e - n AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM q WHERE length(g) >= least),
-r AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
-FROM d LEFT JOIN r USING (doc_id)
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES
+  (0, 'assign', 6, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 20, '()(AKIA[A-Z0-9]+)'),
+  (2, 'hex', 24, '()([0-9a-f]+)'),
+  (3, 'github', 40, '(^|[^A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,})'),
+  (4, 'slack', 15, '(^|[^A-Za-z0-9])(xox[baprs]-[A-Za-z0-9-]{10,})'),
+  (5, 'pem', 27, '()(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)'),
+  (6, 'jwt', 35, '(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})')) v(k, kind, least, pattern)),
+m AS (SELECT r, k, kind, least, regexp_extract_all(t, pattern) AS a, regexp_extract_all(t, pattern, 2) AS g,
+             regexp_split_to_array(t, pattern) AS gaps FROM d, p WHERE regexp_matches(t, pattern)),
+u AS (SELECT r, k, kind, least, unnest(a) AS a, unnest(g) AS g, unnest(list_transform(gaps[1 : len(a)], lambda x: length(x))) AS gap, unnest(range(1, len(a) + 1)) AS i FROM m),
+q AS (SELECT r, k, kind, least, g, CASE WHEN k = 0 THEN length(a) ELSE length(g) END AS n, sum(gap + length(a)) OVER (PARTITION BY r, k ORDER BY i) AS e FROM u),
+f AS (SELECT r, k, kind, CAST(e - n AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM q WHERE length(g) >= least),
+s AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3) AS base,
+             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) AS spans FROM f GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)
 """

@@ -1,7 +1,9 @@
 """Decontamination against brute force."""
 
 import hashlib
+import pickle
 import random
+import tracemalloc
 
 import pytest
 
@@ -52,6 +54,8 @@ def test_words_and_cleaning(spark):
     docs = spark.createDataFrame([(1, "x ONE,two Three y", 1), (2, "one two", 2), (3, None, 3)], "doc_id long, text string, runs int")
     assert [r.doc_id for r in op.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
     assert op.remove_spans(docs, bench, max_run=3).orderBy("doc_id").first().text == "x  y"
+    assert op.remove_spans(docs, bench, max_run=4).orderBy("doc_id").first().text == "x ONE,two Three y"
+    assert [op.remove_spans(docs, bench, 3, share).orderBy("doc_id").first().text for share in (0.5, 0.6)] == ["x  y", "x ONE,two Three y"]
 
 
 def test_odd_rows(spark, odd, empty):
@@ -71,3 +75,19 @@ def test_odd_rows_and_repeated_items_in_blocks(spark, odd):
     one = hashlib.sha256(b"1").hexdigest()
     assert sorted(((r[0] or -1), r[2], r[3]) for r in whole if r[5]) == [(-1, 3, 1), (-1, 5, 1), (-1, 5, 1), (4, 3, 1), (4, 3, 1), (4, 4, 1)]
     assert {r[4] for r in whole if r[0] == 4 and r[2] == 3} == {one}
+    names = [c.name for c in more.schema]
+    clash = more.withColumnRenamed("score", "runs").withColumnRenamed("source", "items")
+    for f in (op.clean, op.remove_spans):
+        one_pass, many = f(more, bench), f(clash, bench, block_words=3)
+        assert one_pass.columns == names and many.columns == clash.columns and key(one_pass) == key(many)
+
+
+def test_memory_of_the_automaton():
+    rnd = random.Random(3)
+    items = [(i, [b"w%d" % int(rnd.paretovariate(0.5)) for _ in range(40)]) for i in range(1000)]
+    raw = pickle.dumps(op.SuffixAutomaton(items))
+    tracemalloc.start()
+    held = pickle.loads(raw)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 200 * 40_000 and held.items[-1] == "999"

@@ -334,7 +334,7 @@ def _part(k: int, kind: str, pattern: str, valid: str) -> str:
 
 
 #: The base spans by DuckDB's matcher.
-SQL = rf"""
+BASE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join([_part(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "any"), _part(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "ip"), _part(2, "card", r"[0-9](?:[\x20-]?[0-9])+", "card"), _part(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone")])}),
 p AS (SELECT doc_id, k, kind, rule, unnest(a) AS a, unnest(list_transform(gaps[1 : len(a)], lambda x: length(x))) AS gap, unnest(range(1, len(a) + 1)) AS i FROM m WHERE len(a) > 0),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -80,9 +81,11 @@ def business_hours(ts: Column, window: Column, zone: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def principal_of(bound: Column, header: Column) -> Column:
-    """Agent id: the bound prefix wins; unbound ids lose reserved prefixes."""
-    free = F.regexp_replace(header, "^(abra|steer):", "")
+def principal_of(bound: Column, header: Column, reserved: Sequence[str] = ()) -> Column:
+    """Agent id: the bound prefix wins; unbound ids lose one of the reserved prefixes."""
+    free = header
+    for name in reserved:
+        free = F.when(header.startswith(f"{name}:"), F.substr(header, F.lit(len(name) + 2))).otherwise(free)
     return F.coalesce(F.when(bound.isNotNull(), F.when(header.isNull(), bound).when(header.startswith(F.concat(bound, F.lit(":"))) | (header == bound), header).otherwise(F.concat(bound, F.lit(":"), header))), F.when(free != "", free), F.lit("anonymous"))
 
 

@@ -49,7 +49,7 @@ def compact_line(action: Column, method: Column, path: Column, model: Column, ma
         ids = F.transform(F.filter(matched, lambda r: r["action"] == name), lambda r: r["rule_id"])
         return F.when(F.size(ids) > 0, F.concat(F.lit(f"{name}="), F.array_join(ids, ",")))
 
-    rules = [of(a) for a in ("block", "steer", "flag", "transform", "allow")]
+    rules = [of(a) for a in ("block", "hold", "flag", "transform", "allow")]
     fallback = F.when((F.coalesce(F.size(matched), F.lit(0)) <= 0) & rule_id.isNotNull(), F.concat(F.lit("rule="), rule_id))
     seen = F.array_distinct(patterns)
     return F.concat_ws(" ", F.concat(F.lit("["), F.upper(action), F.lit("]")), method, path, F.concat(F.lit("model="), model), *rules, fallback, F.when(F.size(seen) > 0, F.concat(F.lit("matched="), F.array_join(seen, ","))), F.concat(F.lit("latency="), F.format_string("%.1f", latency_ms), F.lit("ms")))

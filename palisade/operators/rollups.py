@@ -38,7 +38,7 @@ def hourly(samples: DataFrame, exact: bool = True) -> DataFrame:
 
 def health(audit: DataFrame) -> DataFrame:
     a = F.col("action")
-    return audit.agg(F.count("*").alias("total"), *(F.count_if(a == x).alias(x) for x in ("allow", "transform", "flag", "steer", "block")), F.max("ts").alias("last_request"))
+    return audit.agg(F.count("*").alias("total"), *(F.count_if(a == x).alias(x) for x in ("allow", "transform", "flag", "hold", "block")), F.max("ts").alias("last_request"))
 
 
 def coverage(policies: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Actions by severity.
-RANKS = {"allow": 0, "transform": 1, "flag": 2, "steer": 3, "block": 4}
-BODY_ACTIONS = ("transform", "steer", "block")
+RANKS = {"allow": 0, "transform": 1, "flag": 2, "hold": 3, "block": 4}
+BODY_ACTIONS = ("transform", "hold", "block")
 
 # The fact row, by name and type, with defaults.
 CONTEXT: dict[str, tuple[str, object]] = {
@@ -349,7 +349,7 @@ def validate(policies: list[Policy]) -> None:
 
 
 def decision(policies: list[Policy]) -> Column:
-    """struct(action, rule_id, description, steer_message, transform_pattern, transform_replace, regulatory_mapping, matched_rules).
+    """struct(action, rule_id, description, hold_message, transform_pattern, transform_replace, regulatory_mapping, matched_rules).
 
     Any satisfied forbid makes the forbids the reasons; else the satisfied
     permits are; with neither the answer is block.  The strictest reason wins,
@@ -371,12 +371,12 @@ def decision(policies: list[Policy]) -> Column:
                 F.lit(a.get("category")).cast("string").alias("category"),
                 F.array(*(F.lit(x) for x in p.frameworks)).cast("array<string>").alias("regulatory_mapping"),
                 F.lit(a.get("description")).cast("string").alias("description"),
-                F.lit(a.get("steer_message")).cast("string").alias("steer_message"),
+                F.lit(a.get("hold_message")).cast("string").alias("hold_message"),
                 F.lit(pattern).cast("string").alias("transform_pattern"),
                 F.lit(a.get("transform_replace", "[REDACTED]") if pattern else None).cast("string").alias("transform_replace"),
             )
             rows.append(F.when(F.expr(condition_sql(p)), row))
-        none = "array<struct<rank:int,order:int,action:string,rule_id:string,named:boolean,category:string,regulatory_mapping:array<string>,description:string,steer_message:string,transform_pattern:string,transform_replace:string>>"
+        none = "array<struct<rank:int,order:int,action:string,rule_id:string,named:boolean,category:string,regulatory_mapping:array<string>,description:string,hold_message:string,transform_pattern:string,transform_replace:string>>"
         return F.filter(F.array(*rows), lambda x: x.isNotNull()).cast(none) if rows else F.array().cast(none)
 
     if not policies:  # no policy at all permits everything
@@ -389,7 +389,7 @@ def decision(policies: list[Policy]) -> Column:
         F.coalesce(won["action"], F.lit("block")).alias("action"),
         won["rule_id"].alias("rule_id"),
         won["description"].alias("description"),
-        won["steer_message"].alias("steer_message"),
+        won["hold_message"].alias("hold_message"),
         won["transform_pattern"].alias("transform_pattern"),
         won["transform_replace"].alias("transform_replace"),
         F.coalesce(won["regulatory_mapping"], F.array().cast("array<string>")).alias("regulatory_mapping"),
@@ -473,7 +473,7 @@ def client_status(action: Column, upstream: Column, error: Column) -> Column:
 
 def observe(policies: list[Policy]) -> list[Policy]:
     """Observation mode: what would block or hold is flagged instead."""
-    return [replace(p, annotations={**p.annotations, "enforcement": "flag"}) if p.annotations.get("enforcement") in ("block", "steer") or p.effect == "forbid" and "enforcement" not in p.annotations else p for p in policies]
+    return [replace(p, annotations={**p.annotations, "enforcement": "flag"}) if p.annotations.get("enforcement") in ("block", "hold") or p.effect == "forbid" and "enforcement" not in p.annotations else p for p in policies]
 
 
 def for_mode(policies: list[Policy], mode: str) -> list[Policy]:
@@ -488,7 +488,7 @@ def observe_text(text: str) -> str:
         bare = line.strip()
         if bare.startswith("@enforcement("):
             noted = True
-            line = re.sub(r'@enforcement\("(?:block|steer)"\)', '@enforcement("flag")', line)
+            line = re.sub(r'@enforcement\("(?:block|hold)"\)', '@enforcement("flag")', line)
         elif bare.startswith("forbid(") or bare.startswith("forbid ("):
             if not noted:
                 out.append('@enforcement("flag")')

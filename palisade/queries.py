@@ -365,7 +365,7 @@ def _(spark, d):
     return pol.evaluate(default_policies.policies(), _responses(spark, d)).select("conv_id", "turn", F.col("decision.action").alias("decided"), "decision.rule_id")
 
 
-_rank_sql = "CASE {} WHEN 'allow' THEN 0 WHEN 'transform' THEN 1 WHEN 'flag' THEN 2 WHEN 'steer' THEN 3 ELSE 4 END"
+_rank_sql = "CASE {} WHEN 'allow' THEN 0 WHEN 'transform' THEN 1 WHEN 'flag' THEN 2 WHEN 'hold' THEN 3 ELSE 4 END"
 
 
 @query("final_action", f"WITH {REQS}, {CTX}, {RESP}, a AS ({_decision_sql(_ALL)}), b AS (SELECT conv_id, turn, {_resp_sql['action']} AS r FROM resp) SELECT b.conv_id, b.turn, CASE WHEN {_rank_sql.format('r')} > {_rank_sql.format('decided')} THEN r ELSE decided END AS final FROM a JOIN b USING (conv_id)")
@@ -375,7 +375,7 @@ def _(spark, d):
     return a.join(b, "conv_id").select("conv_id", "turn", pol.final_action(F.col("decided"), F.col("r")).alias("final"))
 
 
-@query("forwarded_body", f"WITH {REQS}, {CTX}, x AS ({_decision_sql(_ALL)}) SELECT conv_id, CASE WHEN decided = 'block' THEN NULL WHEN decided IN ('transform', 'steer') THEN 'redacted' ELSE 'original' END AS body, CAST(CASE WHEN decided = 'block' THEN 400 ELSE 200 END AS INT) AS status FROM x")
+@query("forwarded_body", f"WITH {REQS}, {CTX}, x AS ({_decision_sql(_ALL)}) SELECT conv_id, CASE WHEN decided = 'block' THEN NULL WHEN decided IN ('transform', 'hold') THEN 'redacted' ELSE 'original' END AS body, CAST(CASE WHEN decided = 'block' THEN 400 ELSE 200 END AS INT) AS status FROM x")
 def _(spark, d):
     x = _decided(spark, d).select("conv_id", F.col("decision.action").alias("a"))
     return x.select("conv_id", pol.forwarded_body(F.col("a"), F.lit("original"), F.lit("redacted")).alias("body"), pol.client_status(F.col("a"), F.lit(200), F.lit(None).cast("string")).alias("status"))

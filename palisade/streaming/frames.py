@@ -121,12 +121,12 @@ def enforce(frames: DataFrame, keys: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("emitted", F.max(F.col("verdict").isin("block", "steer").cast("int")).over(w) == 0)
+    return frames.withColumn("emitted", F.max(F.col("verdict").isin("block", "hold").cast("int")).over(w) == 0)
 
 
 def mode_of(enabled: Column, request_action: Column) -> Column:
     """How a stream is handled: passthrough, observe or enforce."""
-    return F.when(~enabled, "passthrough").when(request_action.isin("transform", "steer", "block"), "enforce").otherwise("observe")
+    return F.when(~enabled, "passthrough").when(request_action.isin("transform", "hold", "block"), "enforce").otherwise("observe")
 
 
 # --- encoding ----------------------------------------------------------------------

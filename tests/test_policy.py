@@ -26,7 +26,7 @@ def decide(spark, text, **facts):
         (rule("context.tool_count > 5"), {"tool_count": 1}, "block", None),
         (PERMIT + rule("context.tool_count > 5", id="t"), {"tool_count": 9}, "block", "t"),
         (PERMIT + rule("context.tool_count > 5", id="t", enforcement="flag"), {"tool_count": 9}, "flag", "t"),
-        (PERMIT + rule("", id="a", enforcement="flag") + rule("", id="b", enforcement="steer") + rule("", id="c", enforcement="steer"), {"tool_count": 9}, "steer", "b"),
+        (PERMIT + rule("", id="a", enforcement="flag") + rule("", id="b", enforcement="hold") + rule("", id="c", enforcement="hold"), {"tool_count": 9}, "hold", "b"),
         (PERMIT + rule("", "permit", id="p", enforcement="transform", transform_pattern="x"), {"tool_count": 0}, "transform", "p"),
         (PERMIT + rule("", "permit", id="p", enforcement="transform") + rule("", id="f", enforcement="flag"), {"tool_count": 0}, "flag", "f"),
         (PERMIT + rule("", id="f", action="llm.response"), {"action": "llm.request"}, "allow", "policy0"),

@@ -9,17 +9,19 @@ keeps those that repeat, doubles them, and so on up to the full length:
   while only about 2 in ``length - n1 + 2`` positions are counted.
 * Level 2 doubles the surviving anchors to either side, within the document, and
   keeps the sides that repeat.  Its hashes only ever exclude, so 32 bits do.
-* The last level hashes the full windows around what survived, counts them
-  exactly, and marks the words that repeated windows cover.
+* The last level hashes the full windows around what survived to 128 bits, counts
+  them exactly, and marks the words that repeated windows cover.
 
 Texts with equal word sequences form a class.  A class with several rows repeats
 as a whole; one row of it stands for it in the search, so huge groups of copies
-cost one text.  Counts are pre-aggregated before each shuffle and joined back,
-so a window that a third of all documents share is never gathered in one task.
+cost one text.  Counts are pre-aggregated before each shuffle.  They are joined
+back by the window, so the occurrences of one that very many texts share stream
+through one task's join (as narrow rows, none held); no group is collected.
 
 Null and empty texts have no words.  Rows are judged by their text, whatever
-their id; repeated rows are copies of each other.  Texts shorter than a window
-are kept whole.  Other columns are left out of the report.
+their id; repeated rows are copies of each other, and null or repeated ids match
+no other rows.  Texts shorter than a window are kept whole.  An empty table gives
+an empty report.  Other columns, whatever their names, are left out of it.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from palisade.llm._text import NON_BLANK, buffers, chunks, hash_words, mix, sign
 
 LENGTH = 35
 
-_BASE = "doc_id long, n_words long, k1 long, k2 long, kept_sha256 string, h array<long>, ext array<long>, pos array<int>"
+_BASE = "doc_id long, key binary, n_words long, k1 long, k2 long, kept_sha256 string, h array<long>, ext array<long>, pos array<int>"
 
 
 def _key(h: np.ndarray) -> tuple[int, int]:
@@ -73,7 +75,7 @@ def _documents(length: int):
 
     def run(batches):
         for batch in batches:
-            data, off = buffers(batch.column(1))
+            data, off = buffers(batch.column(2))
             cols: list[list] = [[] for _ in range(7)]
             for i, j in chunks(off):
                 part, cutoff = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -92,26 +94,24 @@ def _documents(length: int):
                     for c, v in zip(cols, (len(x), k1, k2, hashlib.sha256(kept).hexdigest(), *row), strict=True):
                         c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_words", "k1", "k2", "kept_sha256", "h", "ext", "pos"])
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "n_words", "k1", "k2", "kept_sha256", "h", "ext", "pos"])
 
     return run
 
 
 def _full_windows(length: int):
-    """Full windows around surviving anchors: (hash, class, first word)."""
+    """(text, spots, class) to the full windows around surviving anchors: (128 bits of hash, class, first word)."""
     n1, n2 = levels(length)
 
     def run(batches):
         for batch in batches:
             data, off = buffers(batch.column(0))
-            spots, key1, key2 = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            spots, number = batch.column(1), batch.column(2).to_numpy()
             for i, j in chunks(off):
-                part, cutoff = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                _, _, h, at = hash_words(part, cutoff, NON_BLANK)
+                _, _, h, at = hash_words(data[off[i] : off[j]], off[i : j + 1] - off[i], NON_BLANK)
                 for r in range(j - i):
                     x = h[at[r] : at[r + 1]]
-                    if len(x) < length or _key(x) != (key1[i + r], key2[i + r]):
-                        continue  # another row with this id
                     spot = np.asarray(spots[i + r].values, np.int64)
                     right, left = np.zeros(len(x), bool), np.zeros(len(x), bool)
                     right[spot[spot >= 0]] = True
@@ -124,77 +124,92 @@ def _full_windows(length: int):
                     ok = (right[p] | (offset > length - n2)) & (left[p] | (offset < n2 - n1)) & (right[p] | left[p])
                     first = np.flatnonzero(ok)
                     if len(first):
-                        n = len(first)
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(windows(x, length, 5)[first])), pa.array(np.full(n, key1[i + r])), pa.array(np.full(n, key2[i + r])), pa.array(first.astype(np.int32))], names=["w", "k1", "k2", "first"])
+                        w, v = (pa.array(signed(windows(x, length, salt)[first])) for salt in (5, 6))
+                        c = pa.array(np.full(len(first), number[i + r]))
+                        yield pa.RecordBatch.from_arrays([w, v, c, pa.array(first.astype(np.int32))], names=["w", "v", "c", "first"])
 
     return run
 
 
 def _removal(length: int):
+    """(text, first words of repeated windows, class) to (class, words removed, kept text)."""
+
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for text, first, k1, k2 in zip(*(batch.column(c) for c in range(4)), strict=True):
+            removed, texts = [], []
+            for text, first in zip(batch.column(0), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                one = np.frombuffer(raw, np.uint8)
-                _, _, h, _ = hash_words(one, np.array([0, len(one)]), NON_BLANK)
-                if _key(h) != (k1.as_py(), k2.as_py()):
-                    continue
                 tokens = raw.split()
                 step = np.zeros(len(tokens) + 1, np.int64)
                 at = np.asarray(first.values, np.int64)
                 np.add.at(step, at, 1)
                 np.add.at(step, at + length, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                kept = b" ".join([w for w, g in zip(tokens, gone.tolist(), strict=True) if not g])
-                for c, v in zip(out, (k1.as_py(), k2.as_py(), int(gone.sum()), kept.decode("utf-8", "replace")), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["k1", "k2", "n_removed", "kept"])
+                removed.append(int(gone.sum()))
+                texts.append(b" ".join([w for w, g in zip(tokens, gone.tolist(), strict=True) if not g]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["c", "n_removed", "kept"])
 
     return run
 
 
-def _search(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows with their class, classes, texts, repeated windows of classes with one row)."""
-    prepare(docs.sparkSession)
-    n1, n2 = levels(length)
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    base = cut(source.mapInArrow(_documents(length), _BASE), "words")
-    wide = cut(base.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.any_value("h").alias("h"), F.any_value("ext").alias("ext"), F.any_value("pos").alias("pos")), "classes")
-
-    rows = cut(base.select("doc_id", "n_words", "k1", "k2", F.unhex("kept_sha256").alias("sha")), "rows")
-    discard(base)
-    release(docs.sparkSession)
-    anchors = wide.select("k1", "k2", "rep", F.explode(F.arrays_zip("h", "ext", "pos")).alias("a")).select("k1", "k2", "rep", "a.h", "a.ext", "a.pos")
-    again = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    anchors = anchors.join(again, "h", "left_semi")
-    sides = anchors.select("k1", "k2", "rep", "h", F.explode(F.array(F.struct(F.shiftrightunsigned("ext", 32).alias("side"), F.col("pos").alias("spot")), F.struct((F.col("ext").bitwiseAND(0xFFFFFFFF) + F.lit(1 << 33)).alias("side"), (-1 - F.col("pos")).alias("spot")))).alias("s")).select("k1", "k2", "rep", F.xxhash64("h", "s.side").alias("double"), "s.spot")
-    again = sides.groupBy("double").agg(F.count("*").alias("n")).where("n > 1").select("double")
-    spots = cut(sides.join(again, "double", "left_semi").groupBy("k1", "k2", "rep").agg(F.collect_list("spot").alias("spots")), "spots")
-    classes = cut(wide.select("k1", "k2", "copies", "rep"), "classes")
-    discard(wide)
-    release(docs.sparkSession)
-
-    # The words of one text at most are gathered here, and both joins with the texts use one exchange.
-    held = source.join(spots, source["doc_id"].eqNullSafe(spots["rep"])).select("text", "spots", "k1", "k2")
-    full = held.mapInArrow(_full_windows(length), "w long, k1 long, k2 long, first int")
-    again = full.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    hits = full.join(again, "w", "left_semi")
-    return rows, classes, source, hits
+def _repeated(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows whose key occurs more than once."""
+    again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    return rows.join(again, [*by], "left_semi")
+
+
+class _Search:
+    """``rows`` with their class keys, ``classes`` (c, keys, copies, the MD5 of one of its texts), and ``hits`` (c, first)."""
+
+    def __init__(self, docs: DataFrame, length: int):
+        spark = prepare(docs.sparkSession)
+        text = F.col("text").cast("string")
+        source = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"))
+        base = cut(source.mapInArrow(_documents(length), _BASE), "words")
+        wide = base.groupBy("k1", "k2").agg(
+            F.count("*").alias("copies"),
+            F.min("key").alias("key"),
+            F.any_value("h").alias("h"),
+            F.any_value("ext").alias("ext"),
+            F.any_value("pos").alias("pos"),
+        )
+        # Numbers are unique and, once written, fixed.
+        wide = cut(wide.withColumn("c", F.monotonically_increasing_id()), "classes")
+        self.rows = cut(base.select("doc_id", "n_words", "k1", "k2", F.unhex("kept_sha256").alias("sha")), "rows")
+        discard(base)
+        release(spark)
+        anchors = wide.select("c", F.explode(F.arrays_zip("h", "ext", "pos")).alias("a")).select("c", "a.h", "a.ext", "a.pos")
+        right = F.struct(F.shiftrightunsigned("ext", 32).alias("side"), F.col("pos").alias("spot"))
+        left = F.struct((F.col("ext").bitwiseAND(0xFFFFFFFF) + F.lit(1 << 33)).alias("side"), (-1 - F.col("pos")).alias("spot"))
+        sides = _repeated(anchors, "h").select("c", "h", F.explode(F.array(right, left)).alias("s")).select("c", F.xxhash64("h", "s.side").alias("double"), "s.spot")
+        self.spots = cut(_repeated(sides, "double").groupBy("c").agg(F.collect_list("spot").alias("spots")), "spots")
+        self.classes = cut(wide.select("c", "k1", "k2", "copies", "key"), "classes")
+        discard(wide)
+        release(spark)
+        # Texts are met by their MD5, each once; both joins with them use the exchange of this aggregate.
+        self.texts = source.groupBy("key").agg(F.any_value("text").alias("text"))
+        # The words of one text at most are gathered here.
+        full = self.held(self.spots).select("text", "spots", "c").mapInArrow(_full_windows(length), "w long, v long, c long, first int")
+        self.hits = _repeated(full, "w", "v").select("c", "first")
+
+    def held(self, of_class: DataFrame) -> DataFrame:
+        """The text of each class in ``of_class``, beside its columns."""
+        return self.texts.join(self.classes.select("c", "key").join(of_class, "c"), "key")
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Repeated windows that lie in texts of their own: (k1, k2, first word)."""
-    return _search(docs, length)[3].select("k1", "k2", "first")
+    """Repeated windows that lie in texts of their own: (k1, k2, first word), with k1 and k2 the class of a text."""
+    found = _Search(docs, length)
+    return found.hits.join(found.classes.select("c", "k1", "k2"), "c").select("k1", "k2", "first")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, where words went from a text without copies, the kept text."""
-    rows, classes, source, hits = _search(docs, length)
-    per_class = hits.groupBy("k1", "k2").agg(F.collect_list("first").alias("first")).join(classes.where("copies = 1").select("k1", "k2", "rep"), ["k1", "k2"])
-    held = source.join(per_class, source["doc_id"].eqNullSafe(per_class["rep"])).select("text", "first", "k1", "k2")
-    shortened = held.mapInArrow(_removal(length), "k1 long, k2 long, n_removed long, kept string").select("k1", "k2", "n_removed", "kept")
-    rows = rows.join(classes.select("k1", "k2", "copies"), ["k1", "k2"]).join(shortened, ["k1", "k2"], "left")
+    found = _Search(docs, length)
+    per_class = found.hits.groupBy("c").agg(F.collect_list("first").alias("first")).join(found.classes.where("copies = 1").select("c"), "c", "left_semi")
+    shortened = cut(found.held(per_class).select("text", "first", "c").mapInArrow(_removal(length), "c long, n_removed long, kept string"), "shortened")
+    discard(found.spots)
+    rows = found.rows.join(found.classes.select("c", "k1", "k2", "copies"), ["k1", "k2"]).join(shortened, "c", "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= length)
     return rows.select(
         "doc_id",

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.llm import op5_jaccard_join as op5
 from palisade.llm import op6_embedding_dedup as op6
@@ -174,3 +175,25 @@ def test_repeats_odd_rows(odd, empty):
     rows = op10.remove_repeats(odd).collect()
     assert len(rows) == 10 and {r.n_removed for r in rows if r.doc_id in (5, 7)} == {40_001} and not [r for r in rows if r.doc_id not in (5, 7) and r.n_removed]
     assert op10.remove_repeats(empty).count() == 0
+
+
+def test_null_ids_match_their_own_rows(spark):
+    """Texts are joined by what they are: rows of the text joins grow with the rows, not with their square."""
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*(rnd.choice("abcdefgh") for _ in range(12)), *passage, str(i)]) for i in range(120)]
+    docs = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)] * 2 + [(None, texts[0] + " z")], "doc_id long, text string")
+    found = op10._Search(docs, 35)
+    assert found.held(found.spots).count() == found.classes.count() == 121
+    rows = op10.remove_repeats(docs, 35).collect()
+    assert len(rows) == 241 and sum(r.n_removed for r in rows) == sum(2 * len(t.split()) for t in texts) + 53
+    join = op5._Join(docs, 4, 85)
+    assert join._members().count() == join.met.select("c").distinct().count()
+    assert op5.keep_one(docs).count() <= 121
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 1, "x"), (2, "a b c d e f g", 2, "y"), (None, "a b c d e f g", 3, "z"), (2, "q", 4, "y"), (2, "q", 4, "y")], "doc_id long, text string, _id long, key string")
+    docs = docs.withColumn("id", F.lit(1)).withColumn("mine", F.lit(2)).withColumn("component", F.lit(3))
+    kept = op5.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._id) for r in kept.collect()) == [(1, 1), (2, 4)]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palisade.functions.gates import matches
 from palisade.functions.patterns import DETECTOR_VERSIONS, DETECTORS, TOOL_CATEGORIES, TOOL_NAME_IN_TEXT, URL, URL_WITH_PARAMS, Pattern
+from palisade.functions.text import first_bytes
 
 #: Shorter user texts (in bytes) are not scanned in requests.
 LEAST_BYTES = 10
@@ -17,7 +18,13 @@ _FINDING = "struct<pattern_name:string,category:string,confidence:double,offset:
 
 
 def truncate_match(text: Column) -> Column:
-    return F.when(F.octet_length(text) > MATCH_BYTES, F.concat(F.substring(text, 1, MATCH_BYTES), F.lit("..."))).otherwise(text)
+    """At most ``MATCH_BYTES`` bytes, cut on a character border, then dots."""
+    return F.when(F.octet_length(text) > MATCH_BYTES, F.concat(first_bytes(text, MATCH_BYTES), F.lit("..."))).otherwise(text)
+
+
+def long_enough(text: Column) -> Column:
+    """Whether a request's user text is scanned at all."""
+    return F.coalesce(F.octet_length(text) >= LEAST_BYTES, F.lit(False))
 
 
 def findings(text: Column, patterns: Sequence[Pattern]) -> Column:
@@ -41,9 +48,8 @@ def detected(text: Column, detector: str) -> Column:
 
 
 def first_category(text: Column, patterns: Sequence[Pattern]) -> Column:
-    """Category of the first matching pattern in catalog order."""
-    hits = F.filter(F.array(*(F.when(matches(text, p.regex), F.lit(p.category)) for p in patterns)), lambda x: x.isNotNull())
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
+    """Category of the first matching pattern in catalog order; no pattern after it is tried."""
+    return F.coalesce(*(F.when(matches(text, p.regex), F.lit(p.category)) for p in patterns), F.lit(""))
 
 
 def detect(text: Column, detector: str) -> Column:
@@ -118,5 +124,13 @@ def tool_text_findings(text: Column, allowed: Sequence[str] | None = None) -> Co
     return F.transform(g["unauthorized_names"], lambda n: F.struct(F.lit("unauthorized_tool").alias("pattern_name"), category.alias("category"), n.alias("matched_text")))
 
 
-def run_detectors(text: Column, which: Sequence[str] = tuple(DETECTORS)) -> Column:
-    return F.struct(*(detect(text, d).alias(d) for d in which))
+def scored(score: Column, detector: str, threshold: float = 0.5) -> Column:
+    """A detection by a score of the caller's (a model's column, say), shaped as ``detect`` gives it; null scores detect nothing."""
+    hit = F.coalesce(score >= threshold, F.lit(False))
+    return F.struct(hit.alias("detected"), F.lit(detector).alias("detector_type"), F.coalesce(score, F.lit(0.0)).cast("double").alias("confidence"), F.array().cast(f"array<{_FINDING}>").alias("findings"))
+
+
+def run_detectors(text: Column, which: Sequence[str] = tuple(DETECTORS), own: Mapping[str, Callable[[Column], Column]] | None = None) -> Column:
+    """A detection for each name; ``own`` adds detectors of the caller's, functions from text to such a struct."""
+    named = {d: detect(text, d) for d in which} | {d: f(text) for d, f in (own or {}).items()}
+    return F.struct(*(c.alias(d) for d, c in named.items()))

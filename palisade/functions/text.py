@@ -93,12 +93,16 @@ def mcp_id(header: Column) -> Column:
     return F.when(header.rlike(r"^[A-Za-z0-9_.-]{1,255}$"), header)
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The characters that lie in the first ``most`` bytes."""
+    # A cut inside a character leaves a broken tail of up to three bytes.
+    raw = text.cast("binary")
+    return F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(4)), F.substring(raw, 1, most).cast("string"))
+
+
 def truncate_payload(text: Column, most: int) -> Column:
     """At most ``most`` bytes: cut at ``most`` - 14 on a character border, then a mark."""
-    raw = F.substring(text.cast("binary"), 1, most - 14)
-    # A cut inside a character leaves a broken tail of up to three bytes.
-    whole = F.coalesce(*(F.try_validate_utf8(F.substring(text.cast("binary"), 1, most - 14 - k).cast("string")) for k in range(4)), raw.cast("string"))
-    return F.when(F.octet_length(text) > most, F.concat(whole, F.lit("[…truncated]"))).otherwise(text)
+    return F.when(F.octet_length(text) > most, F.concat(first_bytes(text, most - 14), F.lit("[…truncated]"))).otherwise(text)
 
 
 def keeps_payload(mode: str, action: Column) -> Column:

@@ -9,6 +9,7 @@ an error at compile time, never a silent false.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -249,8 +250,13 @@ class _Parser:
         return node
 
 
-def parse(text: str) -> list[Policy]:
-    return _Parser(text).policies()
+def parse(text: str, aliases: Mapping[str, str] | None = None) -> list[Policy]:
+    """The policies of a text.  ``aliases`` maps foreign annotation names and enforcement values to the ones used here."""
+    found = _Parser(text).policies()
+    if not aliases:
+        return found
+    known = lambda x: aliases.get(x, x)
+    return [replace(p, annotations={known(k): known(v) if known(k) == "enforcement" else v for k, v in p.annotations.items()}) for p in found]
 
 
 # --- compiling ---------------------------------------------------------------------

@@ -150,12 +150,13 @@ def _(spark, d):
 
 
 def _detector_query(name: str, patterns) -> None:
-    rows = " UNION ALL ".join(f"SELECT doc_id, {q(p.name)} AS pattern_name, {q(p.category)} AS category, substr(regexp_extract(t, {q(p.regex)}), 1, 40) AS matched_text FROM docs WHERE {rx('t', p.regex)}" for p in patterns)
+    rows = " UNION ALL ".join(f"SELECT doc_id, {q(p.name)} AS pattern_name, {q(p.category)} AS category, regexp_extract(t, {q(p.regex)}) AS m FROM docs WHERE {rx('t', p.regex)}" for p in patterns)
+    within = "CASE WHEN strlen(m) > 200 THEN left(m, list_max(list_filter(range(0, 201), lambda k: strlen(left(m, k)) <= 200))) || '...' ELSE m END"
 
-    @query(f"detector_{name}", f"WITH {DOCS} {rows}")
+    @query(f"detector_{name}", f"WITH {DOCS} SELECT doc_id, pattern_name, category, {within} AS matched_text FROM ({rows})")
     def _(spark, d):
         f = documents(spark, d).select("doc_id", F.explode(det.findings(F.col("t"), patterns)).alias("f"))
-        return f.select("doc_id", "f.pattern_name", "f.category", F.substring("f.matched_text", 1, 40).alias("matched_text"))
+        return f.select("doc_id", "f.pattern_name", "f.category", "f.matched_text")
 
 
 for _name, _patterns in DETECTORS.items():
@@ -280,7 +281,7 @@ def contexts(spark, d) -> DataFrame:
         F.lit("llm.request").alias("action"),
         pick(_MODELS, c).alias("model"),
         pii.pattern_names(t).alias("pii_findings"),
-        *(det.detected(t, n).alias(f"{n}_detected") for n in _SYNC),
+        *((det.long_enough(t) & det.detected(t, n)).alias(f"{n}_detected") for n in _SYNC),
         F.when(c % 11 == 0, 0).otherwise(1000).cast("long").alias("budget_remaining_cents"),
         F.when(c % 17 == 0, "prohibited").otherwise("limited").alias("risk_level"),
         (pick(_MODELS, c) != "unknown").alias("model_approved"),
@@ -292,7 +293,7 @@ def contexts(spark, d) -> DataFrame:
 
 CTX = f"""ctx AS (SELECT conv_id, 'llm.request' AS action, {duck_pick(_MODELS, 'conv_id')} AS model,
   list_filter([{', '.join(f"CASE WHEN {rx('t', p.regex)} THEN {q(p.name)} END" for p in PII)}], lambda v: v IS NOT NULL) AS pii_findings,
-  {', '.join(f"{any_rx('t', DETECTORS[n])} AS {n}_detected" for n in _SYNC)},
+  {', '.join(f"strlen(t) >= {det.LEAST_BYTES} AND {any_rx('t', DETECTORS[n])} AS {n}_detected" for n in _SYNC)},
   CASE WHEN conv_id % 11 = 0 THEN 0 ELSE 1000 END AS budget_remaining_cents, CASE WHEN conv_id % 17 = 0 THEN 'prohibited' ELSE 'limited' END AS risk_level,
   {duck_pick(_MODELS, 'conv_id')} <> 'unknown' AS model_approved, conv_id % 5 <> 0 AS fallback_available, conv_id % 13 <> 0 AS data_residency_compliant, conv_id % 19 = 0 AS anomaly_detected,
   false AS identity_claim_detected, false AS confidential_detected, false AS bias_detected, false AS unauthorized_tool_detected, false AS tool_allowlist_mode, '' AS tool_highest_risk_category, 0 AS tool_count FROM reqs)"""

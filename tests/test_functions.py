@@ -113,3 +113,30 @@ def test_gates_let_every_match_through():
         for m in re.finditer(p.regex, "\n".join(PROBES)):
             assert not literals(p.regex) or any(s in m.group().lower() for s in literals(p.regex)), p.name
     assert literals("(?i)\\bIGNORE\\s+(all|any)") == ("ignore",) and literals("[0-9]+") == () and literals("a?b") == ()
+
+
+def test_match_cut_gate_and_own_detectors(spark):
+    from pyspark.sql import functions as F
+
+    from palisade.functions import detectors as det
+
+    rows = [("a" * 200,), ("a" * 201,), ("é" * 150,), ("a" + "é" * 150,), ("a" * 9,), ("é" * 5,), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(det.truncate_match(F.col("t")).alias("m"), det.long_enough(F.col("t")).alias("ok")).collect()
+    assert [r.m for r in got] == ["a" * 200, "a" * 200 + "...", "é" * 100 + "...", "a" + "é" * 99 + "...", "a" * 9, "é" * 5, None]
+    assert [r.ok for r in got] == [True, True, True, True, False, True, False]
+    own = {"toxicity": lambda t: det.scored(F.length(t) / 200.0, "toxicity", 0.9)}
+    d = df.select(det.run_detectors(F.col("t"), ["bias"], own).alias("d")).collect()
+    assert [r.d.toxicity.detected for r in d] == [True, True, False, False, False, False, False] and not any(r.d.bias.detected for r in d)
+
+
+def test_policy_aliases_and_reserved_prefixes(spark):
+    from pyspark.sql import functions as F
+
+    from palisade.functions import text
+    from palisade.plans import policy
+
+    p = policy.parse('@id("x") @enforcement("divert") @divert_message("no") forbid(principal, action, resource);', {"divert": "hold", "divert_message": "hold_message"})[0]
+    assert p.annotations == {"id": "x", "enforcement": "hold", "hold_message": "no"}
+    df = spark.createDataFrame([("me:a",), ("sys:a",), ("a",), (None,)], "h string")
+    assert [r[0] for r in df.select(text.principal_of(F.lit(None).cast("string"), F.col("h"), ("sys", "me"))).collect()] == ["a", "a", "a", "anonymous"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -18,14 +19,16 @@ ARROW_BYTES = 16 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and make sure there is a checkpoint folder.
 
-    The folder is the shared one the cluster names in spark.checkpoint.dir; only
-    where that is unset (single-machine tests) a local folder is used.
+    The folder is the shared one the cluster names in spark.checkpoint.dir; where
+    that is unset a local folder serves a local master, and a cluster is refused.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="palisade-ckpt-"))
     return spark
 

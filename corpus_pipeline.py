@@ -46,7 +46,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: Learned scores, transitive links and token ids are beyond SQL; the tests hold run() against brute force.
+#: Learned scores, transitive links and token ids are beyond SQL; the tests hold run() against brute force of its stages.
 ORACLE_SQL = None
 
 

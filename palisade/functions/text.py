@@ -20,6 +20,13 @@ def model_of(body: Column) -> Column:
     return F.get_json_object(body, "$.model")
 
 
+def rewrite_model(body: Column, model: Column) -> Column:
+    """The body with its model replaced; keys come out sorted.  A body that is no JSON object, or that repeats a key, stays as it is."""
+    fields = F.map_filter(F.try_parse_json(body).try_cast("map<string,variant>"), lambda k, _: k != "model")
+    quoted = F.try_parse_json(F.to_json(F.struct(model.alias("m")))).try_cast("map<string,variant>")["m"]
+    return F.coalesce(F.to_json(F.map_concat(fields, F.create_map(F.lit("model"), quoted))), body)
+
+
 def stream_of(body: Column) -> Column:
     return F.coalesce(F.get_json_object(body, "$.stream").cast("boolean"), F.lit(False))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import detectors as det
@@ -19,7 +19,7 @@ from palisade.operators import audit, economics, rollups, routing
 from palisade.plans import default_policies
 from palisade.plans import policy as pol
 from palisade.probes import PROBES, TOOLS
-from palisade.streaming import buffer, frames
+from palisade.streaming import buffer, frames, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -661,3 +661,65 @@ def _(spark, d):
     data = F.concat(F.lit('{"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":"a'), F.col("turn").cast("string"), F.lit('"}}]}}]}'))
     c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), data.alias("data"))
     return frames.tool_arguments(c, ["conv_id"]).select("conv_id", F.col("index").alias("idx"), "arguments")
+
+
+# --- streams, scanned ------------------------------------------------------------------------
+
+_STREAM_RULES = pol.parse(
+    """
+    permit(principal, action, resource);
+    @id("pii-flag") @enforcement("flag") forbid(principal, action == Gov::Action::"llm.response", resource) when { context.pii_detected == true };
+    @id("long-block") @enforcement("block") forbid(principal, action == Gov::Action::"llm.response", resource) when { context.pii_detected == true && context.tool_count > 3 };
+    @id("tools-block") @enforcement("block") forbid(principal, action == Gov::Action::"tool.call", resource) when { context.tool_count > 1 && context.pii_detected == true };
+    @id("tools-flag") @enforcement("flag") forbid(principal, action == Gov::Action::"tool.call", resource) when { context.tool_count > 1 };
+    """
+)
+
+
+def _turns(spark, d) -> DataFrame:
+    t = F.concat("text", F.lit(" "), pick(PROBES, F.col("conv_id") + F.col("turn")))
+    return spread(table(spark, d, "conversations")).select("conv_id", "turn", t.alias("t"))
+
+
+TURNS = f"turns AS (SELECT conv_id, turn, text || ' ' || {duck_pick(PROBES, '(conv_id + turn)')} AS t FROM conversations)"
+
+
+@query(
+    "stream_scan_enforced",
+    f"""WITH {TURNS}, h AS (SELECT conv_id, turn, {any_rx('t', PII)} AS hit FROM turns), v AS (SELECT *, CASE WHEN hit AND turn >= 4 THEN 'block' WHEN hit THEN 'flag' ELSE 'allow' END AS verdict FROM h),
+    s AS (SELECT *, sum(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS stops FROM v)
+    SELECT conv_id, turn, verdict, stops = 0 AS sent, CASE WHEN stops = 0 THEN 'text' WHEN stops = 1 AND verdict = 'block' THEN 'error' ELSE 'none' END AS kind FROM s""",
+)
+def _(spark, d):
+    f = _turns(spark, d).select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("flush_seq"), F.col("t").alias("text"), F.col("turn").cast("long").alias("tool_count"))
+    e = scan.enforce_flushes(f, _STREAM_RULES)
+    kind = F.when(F.col("output").isNull(), "none").when(F.get_json_object(F.substring("output", 6, 1 << 30), "$.error").isNotNull(), "error").otherwise("text")
+    return e.select(F.col("stream_id").alias("conv_id"), F.col("flush_seq").alias("turn"), "verdict", "sent", kind.alias("kind"))
+
+
+_turn_hits = "(" + " + ".join(f"CASE WHEN {rx('t', p.regex)} THEN 1 ELSE 0 END" for p in PII) + ")"
+
+
+@query(
+    "stream_observed",
+    f"""WITH {TURNS}, s AS (SELECT conv_id, count(*) AS n, sum({_turn_hits}) AS hits FROM turns GROUP BY conv_id),
+    v AS (SELECT conv_id, hits, least(n, 3) AS tools, n > 1 AS many FROM s)
+    SELECT conv_id, CAST(hits + CASE WHEN many THEN 1 ELSE 0 END AS BIGINT) AS n_findings, CAST(tools AS BIGINT) AS n_tools, CASE WHEN many AND hits > 0 THEN 'block' WHEN many OR hits > 0 THEN 'flag' ELSE 'allow' END AS verdict FROM v""",
+)
+def _(spark, d):
+    t = _turns(spark, d)
+    said = t.select("conv_id", (F.col("turn") * 2).alias("seq"), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("t").alias("content")).alias("delta"))).alias("choices"))).alias("data"), F.lit(False).alias("is_done"))
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    name = F.concat(F.lit("tool"), (order % 3).cast("string"))
+    called = t.select("conv_id", (F.col("turn") * 2 + 1).alias("seq"), F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.struct(name.alias("name")).alias("function"))).alias("tool_calls")).alias("delta"))).alias("choices"))).alias("data"), F.lit(False).alias("is_done"))
+    end = t.select("conv_id").distinct().select("conv_id", F.lit(1 << 30).alias("seq"), F.lit("[DONE]").alias("data"), F.lit(True).alias("is_done"))
+    rows = said.union(called).union(end).withColumn("is_error", F.lit(False))
+    o = scan.tools_at_end(scan.observe(rows, ["conv_id"]), _STREAM_RULES)
+    return o.select("conv_id", F.size("findings").cast("long").alias("n_findings"), F.size("tools").cast("long").alias("n_tools"), "verdict")
+
+
+@query("body_model_rewrite", "SELECT conv_id, turn, 'm\"' || conv_id AS model, md5(text) AS text_md5 FROM conversations")
+def _(spark, d):
+    body = F.to_json(F.struct(F.lit("old").alias("model"), F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("messages")))
+    c = table(spark, d, "conversations").select("conv_id", "turn", text.rewrite_model(body, F.concat(F.lit('m"'), F.col("conv_id").cast("string"))).alias("b"))
+    return c.select("conv_id", "turn", text.model_of(F.col("b")).alias("model"), F.md5(F.get_json_object("b", "$.messages[0].content").cast("binary")).alias("text_md5"))

@@ -121,9 +121,19 @@ def lookup_budget(requests: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def running_spend(usages: DataFrame, keys: list[str], period: str) -> DataFrame:
-    """Adds the spend of each key so far in the calendar period."""
-    w = Window.partitionBy(*keys, period_start(F.col("ts"), F.lit(period))).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return usages.withColumn("running_usd", F.sum("cost_usd").over(w))
+    """Adds the spend of each key so far in the calendar period.
+
+    Hours are summed first; a window over the sums gives what each hour begins
+    with, and only the rows of one hour of a key are ordered in one task.
+    """
+    of_hour = [F.col(k) for k in keys] + [F.date_trunc("hour", "ts").alias("_hour")]
+    sums = usages.groupBy(*of_hour).agg(F.sum("cost_usd").alias("_sum"))
+    earlier = Window.partitionBy(*keys, period_start(F.col("_hour"), F.lit(period))).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_hour").alias("_begin"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
+    rows = usages.withColumn("_hour", F.date_trunc("hour", "ts"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_hour").eqNullSafe(F.col("_begin")))
+    w = Window.partitionBy(*keys, "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(begins, same).select(*usages.columns, (F.col("_before") + F.sum("cost_usd").over(w)).alias("running_usd"))
 
 
 def rate_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:

@@ -537,6 +537,93 @@ def _(spark, d):
     return r.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "scope_id", "n")
 
 
+@query(
+    "rate_limit_first_breach",
+    f"""WITH {USE}, c AS (SELECT date_trunc('minute', ts) AS m, 0 AS place, 'global' AS scope, '*' AS scope_id, count(*) AS n FROM use GROUP BY ALL HAVING count(*) > 2
+      UNION ALL SELECT date_trunc('minute', ts), 1, 'tenant', tenant_id, count(*) FROM use GROUP BY ALL HAVING count(*) > 1)
+    SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute, scope, scope_id, n FROM c QUALIFY row_number() OVER (PARTITION BY m ORDER BY place, scope_id) = 1""",
+)
+def _(spark, d):
+    limits = spark.createDataFrame([("global", "*", 2), *(("tenant", str(t), 1) for t in range(7))], "scope string, scope_id string, per_minute int")
+    r = economics.first_breach(economics.rate_limit(_usages(spark, d), limits))
+    return r.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "scope", "scope_id", "n")
+
+
+_BUDGETS = [("api_key", "11", 1.0, 0.25), ("api_key", "12", 0.0, 0.5), ("tenant", "1", 0.5, 0.125), ("tenant", "2", 1.0, 2.0), ("agent", "a3", 4.0, 1.0)]
+
+
+@query(
+    "budget_lookup",
+    f"""WITH b AS (SELECT scope, scope_id, CAST(floor(greatest(amount - spent, 0) * 100) AS BIGINT) AS cents, CAST(floor(CASE WHEN amount > 0 THEN least(spent / amount * 100, 100) ELSE 0 END) AS BIGINT) AS pct
+      FROM (VALUES {", ".join(f"({q(a)}, {q(b)}, CAST({c} AS DOUBLE), CAST({e} AS DOUBLE))" for a, b, c, e in _BUDGETS)}) v(scope, scope_id, amount, spent))
+    SELECT event_id, coalesce(k.cents, t.cents, a.cents, -1) AS budget_remaining_cents, coalesce(k.pct, t.pct, a.pct, 0) AS budget_utilization_pct FROM events
+    LEFT JOIN b k ON k.scope = 'api_key' AND k.scope_id = CAST(user_id AS VARCHAR)
+    LEFT JOIN b t ON t.scope = 'tenant' AND t.scope_id = CAST(user_id % 7 AS VARCHAR)
+    LEFT JOIN b a ON a.scope = 'agent' AND a.scope_id = 'a' || (event_id % 5)""",
+)
+def _(spark, d):
+    status = spark.createDataFrame(_BUDGETS, "scope string, scope_id string, amount_usd double, spent_usd double")
+    requests = _usages(spark, d).withColumn("agent_id", F.concat(F.lit("a"), (F.col("event_id") % 5).cast("string")))
+    return economics.lookup_budget(requests, status).select("event_id", "budget_remaining_cents", "budget_utilization_pct")
+
+
+@query(
+    "budget_refresh",
+    f"""WITH b AS (SELECT user_id, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC) = 1)
+    SELECT CAST(user_id AS VARCHAR) AS scope_id, value AS amount_usd, CASE WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= TIMESTAMP '{_NOW}' THEN 0.0 ELSE value / 2 END AS spent_usd,
+      strftime(CASE WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= TIMESTAMP '{_NOW}' THEN date_trunc('day', TIMESTAMP '{_NOW}') ELSE date_trunc('day', ts) END + INTERVAL 1 DAY, '%Y-%m-%d') AS reset_on FROM b""",
+)
+def _(spark, d):
+    status = table(spark, d, "events").select(
+        F.lit("tenant").alias("scope"), F.col("user_id").cast("string").alias("scope_id"), F.col("value").alias("amount_usd"), (F.col("value") / 2).alias("spent_usd"), F.lit("daily").alias("period"),
+        economics.reset_at(F.col("ts"), F.lit("daily")).alias("reset_at"),
+    )
+    fresh = economics.refresh(status, F.lit(_NOW).cast("timestamp"))
+    return fresh.select("scope_id", "amount_usd", "spent_usd", F.date_format("reset_at", "yyyy-MM-dd").alias("reset_on"))
+
+
+@query(
+    "fallback_model",
+    f"""WITH {USE} SELECT event_id, CASE model WHEN {q(_MODELS[0])} THEN 'small-a' WHEN {q(_MODELS[1])} THEN NULL END AS fallback_model FROM use""",
+)
+def _(spark, d):
+    routes = spark.createDataFrame(
+        [(_MODELS[0], [("provider_error", "other"), ("budget_exceeded", "small-a"), ("budget_exceeded", "small-b")]), (_MODELS[1], [("provider_error", "other")])],
+        "model string, fallback array<struct<condition:string,model:string>>",
+    )
+    return economics.fallback_route(_usages(spark, d), routes).select("event_id", "fallback_model")
+
+
+@query(
+    "identity_lookup",
+    "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 't' || (user_id % 5) ELSE 'default' END AS tenant_id, CASE WHEN user_id % 3 = 0 THEN 'g' || user_id ELSE 'anonymous' END AS agent_id FROM events",
+)
+def _(spark, d):
+    user = F.col("user_id").cast("string")
+    e = table(spark, d, "events").select("event_id", "user_id", text.key_hash(user).alias("key_hash"))
+    keys = e.where("user_id % 3 = 0").select("key_hash", F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"), F.concat(F.lit("g"), user).alias("agent_id")).distinct()
+    return routing.with_identity(e, keys).select("event_id", "tenant_id", "agent_id")
+
+
+@query(
+    "principals",
+    """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'org' END AS b, CASE event_id % 5 WHEN 1 THEN 'org:' || user_id WHEN 2 THEN 'app:' || user_id WHEN 3 THEN 'u' || user_id WHEN 4 THEN '' END AS h FROM events)
+    SELECT event_id, CASE WHEN b IS NOT NULL AND h IS NULL THEN b WHEN b IS NOT NULL AND (starts_with(h, b || ':') OR h = b) THEN h WHEN b IS NOT NULL THEN b || ':' || h
+      WHEN starts_with(h, 'app:') THEN substr(h, 5) WHEN h <> '' THEN h ELSE 'anonymous' END AS principal FROM x""",
+)
+def _(spark, d):
+    user, kind = F.col("user_id").cast("string"), F.col("event_id") % 5
+    header = F.when(kind == 1, F.concat(F.lit("org:"), user)).when(kind == 2, F.concat(F.lit("app:"), user)).when(kind == 3, F.concat(F.lit("u"), user)).when(kind == 4, "")
+    bound = F.when(F.col("event_id") % 3 == 0, "org")
+    return table(spark, d, "events").select("event_id", text.principal_of(bound, header, reserved=("app",)).alias("principal"))
+
+
+@query("hold_capacity", "SELECT count(*) AS active, count(*) >= 100 AS full FROM events WHERE event_type = 'error'")
+def _(spark, d):
+    h = table(spark, d, "events").select(F.when(F.col("event_type") == "error", "pending").otherwise("approved").alias("status"))
+    return audit.capacity(h, 100)
+
+
 @query("usage_parse", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN -1 ELSE event_id % 50 END AS prompt_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 50 + 9 WHEN 1 THEN event_id % 50 + 7 ELSE -1 END AS total_tokens FROM events")
 def _(spark, d):
     n = (F.col("event_id") % 50).cast("string")
@@ -640,7 +727,11 @@ for _p in ("openai", "anthropic", "gemini"):
     _sse(_p, "SELECT conv_id, turn, 'm' || conv_id AS delta, false AS is_done, false AS is_error FROM conversations UNION ALL SELECT conv_id, turn, NULL, true, false FROM conversations")
 
 
-@query("bedrock_frames")
+@query(
+    "bedrock_frames",
+    """SELECT conv_id, turn, 'contentBlockDelta' AS event, contains(text, '"message_stop"') AS is_done, false AS is_error FROM conversations
+    UNION ALL SELECT conv_id, turn, 'messageStop', true, false FROM conversations""",
+)
 def _(spark, d):
     @F.pandas_udf("binary")
     def encode(t: pd.Series) -> pd.Series:

@@ -15,6 +15,7 @@ _MODULES = {
     "op8_sentencepiece": "op8_sentencepiece",
     "op9_token_counts": "op9_token_counts",
     "op10_repeats": "op10_repeats",
+    "op11_prefix_trie": "op11_prefix_trie",
     "op12_best_fit": "op12_best_fit",
 }
 

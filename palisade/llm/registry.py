@@ -17,6 +17,7 @@ _MODULES = {
     "op10_repeats": "op10_repeats",
     "op11_prefix_trie": "op11_prefix_trie",
     "op12_best_fit": "op12_best_fit",
+    "op13_spellings": "op13_spellings",
 }
 
 

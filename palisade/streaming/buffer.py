@@ -2,6 +2,7 @@
 
 Text is appended; the whole buffer is flushed when it reaches the cap, else when
 what was just appended holds a space, newline, return or tab, and at the end.
+Chunks without text change nothing.
 """
 
 from __future__ import annotations
@@ -9,65 +10,113 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.operators.running import running_sums
+from palisade.session import cut
+
 _BLANK = r"[ \n\r\t]"
 FLUSH = "stream_id long, flush_seq int, last_seq long, text string, reason string"
+#: Bytes of text whose chunks meet those whose caps end there.
+_SPAN = 64
 
 
 def flush_groups(chunks: DataFrame) -> DataFrame:
     """Flushes of each stream (stream_id, seq, chunk) where no buffer reaches a cap: plain windows and groups."""
     w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.col("chunk").rlike(_BLANK)
-    rows = chunks.withColumn("flush_seq", F.coalesce(F.sum(cut.cast("int")).over(w), F.lit(0)).cast("int"))
+    blank = F.col("chunk").rlike(_BLANK)
+    rows = chunks.withColumn("flush_seq", F.coalesce(F.sum(blank.cast("int")).over(w), F.lit(0)).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")
-    return rows.groupBy("stream_id", "flush_seq").agg(joined.alias("text"), F.max("seq").alias("last_seq"), F.when(F.bool_or(cut), "boundary").otherwise("end").alias("reason"))
+    return rows.groupBy("stream_id", "flush_seq").agg(joined.alias("text"), F.max("seq").alias("last_seq"), F.when(F.bool_or(blank), "boundary").otherwise("end").alias("reason"))
 
 
 class Buffer:
     """The recurrence for one stream."""
 
-    def __init__(self, cap: int, held: str = "", n: int = 0):
-        self.cap, self.held, self.n = cap, held, n
+    def __init__(self, cap: int, held: str = "", n: int = 0, last: int = -1):
+        self.cap, self.held, self.n, self.last = cap, held, n, last
 
-    def push(self, text: str) -> tuple[int, str, str] | None:
-        self.held += text
+    def push(self, text: str, seq: int) -> tuple[int, int, str, str] | None:
+        if not text:
+            return None
+        self.held, self.last = self.held + text, seq
         if len(self.held.encode()) >= self.cap:
             return self._flush("cap")
         if any(c in text for c in " \n\r\t"):
             return self._flush("boundary")
         return None
 
-    def end(self) -> tuple[int, str, str] | None:
+    def end(self) -> tuple[int, int, str, str] | None:
         return self._flush("end") if self.held else None
 
-    def _flush(self, reason: str) -> tuple[int, str, str]:
-        out = self.n, self.held, reason
+    @property
+    def state(self) -> tuple[str, int, int]:
+        return self.held, self.n, self.last
+
+    def _flush(self, reason: str) -> tuple[int, int, str, str]:
+        out = self.n, self.last, self.held, reason
         self.held, self.n = "", self.n + 1
         return out
 
 
-def flush_capped(chunks: DataFrame, cap: int) -> DataFrame:
-    """The same with a cap.  Rows are dealt by stream and sorted, and read one by one: a stream is never held whole."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, buffer, last = None, Buffer(cap), None
-        for pdf in frames:
-            out = []
-            for sid, seq, chunk in zip(pdf["stream_id"], pdf["seq"], pdf["chunk"], strict=True):
-                if sid != stream:
-                    if stream is not None and (got := buffer.end()):
-                        out.append((stream, got[0], last, got[1], got[2]))
-                    stream, buffer = sid, Buffer(cap)
-                last = seq
-                if got := buffer.push(chunk or ""):
-                    out.append((sid, got[0], seq, got[1], got[2]))
-            yield pd.DataFrame(out, columns=["stream_id", "flush_seq", "last_seq", "text", "reason"])
-        if stream is not None and (got := buffer.end()):
-            yield pd.DataFrame([(stream, got[0], last, got[1], got[2])], columns=["stream_id", "flush_seq", "last_seq", "text", "reason"])
-
-    return chunks.select("stream_id", "seq", "chunk").repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, FLUSH)
+def _flush_starts(long: DataFrame, cap: int, most: int) -> DataFrame:
+    """(stream_id, at): where flushes begin in runs that reach the cap; ``long`` has stream_id, at, to, run_at and run_to in bytes.
+
+    A flush that begins at a byte ends with the chunk that holds the byte one cap
+    further.  That gives each chunk a pointer to the next beginning; what can be
+    reached from the beginnings of runs is found by doubling the pointers, in as
+    many steps as the logarithm of the flushes of a run.
+    """
+    span = F.explode(F.sequence(F.floor((F.col("at") + 1) / _SPAN), F.floor(F.col("to") / _SPAN)))
+    holders = long.select(F.col("stream_id").alias("_s"), F.col("at").alias("_at"), F.col("to").alias("next"), span.alias("_span"))
+    goal = F.col("at") + cap
+    seekers = long.where(goal <= F.col("run_to")).select("stream_id", "at", "run_to", goal.alias("_goal"), F.floor(goal / _SPAN).alias("_span2"))
+    holds = (F.col("stream_id") == F.col("_s")) & (F.col("_span2") == F.col("_span")) & (F.col("_at") < F.col("_goal")) & (F.col("_goal") <= F.col("next"))
+    jump = cut(seekers.join(holders, holds).where("next < run_to").select("stream_id", "at", "next"))
+    reached = long.where("at = run_at").select("stream_id", "at")
+    steps = max(most - 1, 1).bit_length()
+    for step in range(steps):
+        further = reached.join(jump, ["stream_id", "at"]).select("stream_id", F.col("next").alias("at"))
+        reached = cut(reached.unionByName(further).distinct())
+        if step + 1 < steps:
+            on = jump.select("stream_id", F.col("at").alias("next"), F.col("next").alias("further"))
+            jump = cut(jump.join(on, ["stream_id", "next"]).select("stream_id", "at", F.col("further").alias("next")))
+    return reached
+
+
+def flush_capped(chunks: DataFrame, cap: int, ends: Column | None = None) -> DataFrame:
+    """The same with a cap: (stream_id, flush_seq, last_seq, text, reason, ended_at).
+
+    seq is a whole number, unique in its stream.  Rows for which ``ends`` holds
+    have no text of their own and flush what is held; ended_at is the seq of such
+    a row for the flush that it ends.  Each chunk with a blank flushes, so runs
+    between them stand alone; only runs that reach the cap need more than sums.
+    """
+    over = F.coalesce(ends, F.lit(False)) if ends is not None else F.lit(False)
+    rows = chunks.select("stream_id", F.col("seq").cast("long"), F.coalesce("chunk", F.lit("")).alias("chunk"), over.alias("over"))
+    rows = rows.where("over or chunk <> ''").withColumn("chunk", F.when(F.col("over"), "").otherwise(F.col("chunk")))
+    size, breaks = F.octet_length("chunk").cast("long"), (F.col("chunk").rlike(_BLANK) | F.col("over")).cast("long")
+    sums = running_sums(rows, ["stream_id"], "seq", {"to": size, "_runs": breaks})
+    placed = cut(sums.withColumns({"at": F.col("to") - size, "run": F.col("_runs") - breaks}).drop("_runs"))
+    runs = placed.where("not over").groupBy("stream_id", "run").agg(F.min("at").alias("run_at"), F.max("to").alias("run_to"))
+    most = runs.agg(F.max((F.col("run_to") - F.col("run_at")) / cap)).first()[0] or 0
+    begins = runs.select("stream_id", F.col("run_at").alias("at"))
+    if most >= 1:
+        long = placed.where("not over").join(runs.where(F.col("run_to") - F.col("run_at") >= cap), ["stream_id", "run"])
+        begins = begins.unionByName(_flush_starts(long.select("stream_id", "at", "to", "run_at", "run_to"), cap, int(most) + 1)).distinct()
+    # Beginnings are those of chunks with text, and no two of them begin at one byte.
+    marked = placed.join(begins.withColumn("_begins", F.lit(1)), ["stream_id", "at"], "left").withColumn("_begins", F.when(~F.col("over"), F.coalesce("_begins", F.lit(0))).otherwise(0))
+    numbered = running_sums(marked, ["stream_id"], "seq", {"_n": F.col("_begins").cast("long")})
+    parts = F.filter(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"] != "")
+    flushes = numbered.groupBy("stream_id", "run", "_n").agg(
+        F.array_join(F.transform(parts, lambda x: x["chunk"]), "").alias("text"),
+        F.max(F.when(~F.col("over"), F.col("seq"))).alias("last_seq"),
+        F.min(F.when(F.col("over"), F.col("seq"))).alias("ended_at"),
+        F.bool_or(F.col("chunk").rlike(_BLANK)).alias("_blank"),
+    )
+    reason = F.when(F.octet_length("text") >= cap, "cap").when(F.col("_blank"), "boundary").otherwise("end")
+    return flushes.where("text <> ''").select("stream_id", (F.col("_n") - 1).cast("int").alias("flush_seq"), "last_seq", "text", reason.alias("reason"), F.when(reason == "end", F.col("ended_at")).alias("ended_at"))
 
 
 def flush_stream(chunks: DataFrame, cap: int) -> DataFrame:
@@ -77,21 +126,20 @@ def flush_stream(chunks: DataFrame, cap: int) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer = Buffer(cap, *state.get) if state.exists else Buffer(cap)
         out, over = [], False
-        for pdf in frames:
-            for row in pdf.sort_values("seq").itertuples():
-                if got := buffer.push(row.chunk or ""):
-                    out.append((key[0], got[0], row.seq, got[1], got[2]))
-                if row.done:
-                    over = True
-                    if got := buffer.end():
-                        out.append((key[0], got[0], row.seq, got[1], got[2]))
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            if got := buffer.push(row.chunk or "", row.seq):
+                out.append((key[0], *got))
+            if row.done:
+                over = True
+                if got := buffer.end():
+                    out.append((key[0], *got))
         if over:
             state.remove()
         else:
-            state.update((buffer.held, buffer.n))
+            state.update(buffer.state)
         yield pd.DataFrame(out, columns=["stream_id", "flush_seq", "last_seq", "text", "reason"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, FLUSH, "held string, n int", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, FLUSH, "held string, n int, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def usage_by_window(usages: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:

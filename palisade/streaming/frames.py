@@ -142,11 +142,30 @@ def encode_text(provider: str, text: Column) -> Column:
 
 
 def encode_error(provider: str, message: Column) -> Column:
+    """An error frame; the message of a blocked stream is the id of the rule that blocked it."""
     body = F.to_json(F.struct(F.struct(message.alias("message"), F.lit("policy_violation").alias("type")).alias("error")))
     head = "event: error\ndata: " if provider == "anthropic" else "data: "
     return F.concat(F.lit(head), body, F.lit("\n\n"))
 
 
+def encode_hold(provider: str, text: Column) -> Column:
+    """A last message in place of an answer, and the provider's end of stream."""
+    if provider == "anthropic":
+        return F.concat(encode_text(provider, text), F.lit('event: message_stop\ndata: {"type":"message_stop"}\n\n'))
+    if provider == "gemini":
+        content = F.struct(F.array(F.struct(text.alias("text"))).alias("parts"), F.lit("model").alias("role"))
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(content.alias("content"), F.lit("STOP").alias("finishReason"))).alias("candidates"))), F.lit("\n\n"))
+    choice = F.struct(F.lit(0).alias("index"), F.struct(text.alias("content")).alias("delta"), F.lit("stop").alias("finish_reason"))
+    body = F.to_json(F.struct(F.lit("chatcmpl-hold").alias("id"), F.lit("chat.completion.chunk").alias("object"), F.array(choice).alias("choices")))
+    return F.concat(F.lit("data: "), body, F.lit("\n\ndata: [DONE]\n\n"))
+
+
+def encode_frame(provider: str, event: Column, data: Column) -> Column:
+    """A frame as it came, with the line breaks that parsing took."""
+    line = F.concat(F.lit("data: "), data, F.lit("\n\n"))
+    return F.when(event.isNotNull(), F.concat(F.lit("event: "), event, F.lit("\n"), line)).otherwise(line) if provider == "anthropic" else line
+
+
 def encode_bedrock(event: str, payload: bytes) -> bytes:
     """One binary event-stream message with its checksums."""
     headers = b""
@@ -158,9 +177,9 @@ def encode_bedrock(event: str, payload: bytes) -> bytes:
 
 
 def split_bedrock(raw: bytes) -> tuple[list[bytes], bytes]:
-    """Complete messages and the rest.  A length below 12 drops one byte and tries again."""
+    """Complete messages and the rest, which may be less than a prelude.  A length below 12 drops one byte and tries again."""
     out, at = [], 0
-    while len(raw) - at >= 4:
+    while len(raw) - at >= 12:
         (size,) = struct.unpack_from(">I", raw, at)
         if size < 12:
             at += 1

@@ -10,8 +10,10 @@ from palisade.plans import policy as pol
 from palisade.streaming import frames as fr
 
 STOPS = ("block", "hold")
-_BLOCKED = "Response blocked by policy"
-_HELD = "I can't help with that."
+#: Said in place of a held answer where the rule says nothing.
+_HELD = "This answer is held for review."
+#: In place of a rule's id where it has none.
+_BLOCKED = "policy_block"
 
 
 def _one(pattern: Column, count: Column, location: str) -> Column:
@@ -19,32 +21,45 @@ def _one(pattern: Column, count: Column, location: str) -> Column:
     return F.array(F.struct(pattern.alias("pattern"), F.lit("").alias("redacted_to"), count.cast("int").alias("count"), F.lit(location).alias("location")))
 
 
-def enforce_flushes(flushes: DataFrame, policies: str | list[pol.Policy], provider: str = "openai") -> DataFrame:
-    """Scans each flush (stream_id, flush_seq, text, any facts), decides on it and says what goes out.
-
-    Adds findings, verdict, rule_id, sent and output.  Personal data is replaced
-    whatever the verdict; a transform replaces its pattern after that; the first
-    block or hold of a stream sends an error or the hold message in its place
-    and nothing after it.  Decisions see the facts given and whether this flush
-    holds personal data.  Flushes are decided one by one; only the search for a
-    stream's first stop orders the flushes of one stream.  A null text is empty.
+def decide(rows: DataFrame, policies: str | list[pol.Policy], provider: str = "openai") -> DataFrame:
+    """Scans each text, decides on it and says what would go out: adds findings, verdict, rule_id, stops and output.
+
+    Personal data is replaced whatever the verdict; a transform replaces its
+    pattern after that; a block or hold puts an error (the rule's id) or the hold
+    message in the text's place.  Decisions see the facts given and whether this
+    text holds personal data.  Where there is a column ``reason``, what is flushed
+    at the end is scanned but not decided on.  A null text is empty.
     """
-    own = flushes.columns
-    rows = pii.scan_and_redact(flushes.withColumn("text", F.coalesce("text", F.lit(""))), "text", "streaming_response", findings="findings", redacted="_scanned")
-    facts = rows.drop("pii_findings", "action").withColumns({"action": F.lit("llm.response"), "streaming": F.lit(True), "pii_detected": F.size("findings") > 0})
+    own = rows.columns
+    scanned = pii.scan_and_redact(rows.withColumn("text", F.coalesce("text", F.lit(""))), "text", "streaming_response", findings="findings", redacted="_scanned")
+    facts = scanned.drop("pii_findings", "action").withColumns({"action": F.lit("llm.response"), "streaming": F.lit(True), "pii_detected": F.size("findings") > 0})
     d = F.col("decision")
-    decided = pol.evaluate(policies, facts).withColumns({"verdict": d["action"], "rule_id": d["rule_id"]})
-    up_to_now = Window.partitionBy("stream_id").orderBy("flush_seq").rowsBetween(Window.unboundedPreceding, 0)
-    stops = F.sum(F.col("verdict").isin(*STOPS).cast("int")).over(up_to_now)
-    first = (F.col("_stops") == 1) & F.col("verdict").isin(*STOPS)
-    changed = F.when((F.col("verdict") == "transform") & d["transform_pattern"].isNotNull(), F.replace("_scanned", d["transform_pattern"], d["transform_replace"])).otherwise(F.col("_scanned"))
+    asked = F.col("reason") != "end" if "reason" in own else F.lit(True)
+    decided = pol.evaluate(policies, facts).withColumns({"verdict": F.when(asked, d["action"]).otherwise("allow"), "rule_id": F.when(asked, d["rule_id"])})
+    verdict = F.col("verdict")
+    changed = F.when((verdict == "transform") & d["transform_pattern"].isNotNull(), F.replace("_scanned", d["transform_pattern"], d["transform_replace"])).otherwise(F.col("_scanned"))
     output = (
-        F.when(F.col("_stops") == 0, fr.encode_text(provider, changed))
-        .when(first & (F.col("verdict") == "hold"), fr.encode_text(provider, F.coalesce(d["hold_message"], F.lit(_HELD))))
-        .when(first, fr.encode_error(provider, F.coalesce(d["description"], F.lit(_BLOCKED))))
+        F.when(verdict == "hold", fr.encode_hold(provider, F.coalesce(d["hold_message"], F.lit(_HELD))))
+        .when(verdict == "block", fr.encode_error(provider, F.coalesce("rule_id", F.lit(_BLOCKED))))
+        .otherwise(fr.encode_text(provider, changed))
     )
-    flagged = F.when(F.col("verdict") == "flag", F.concat("findings", _one(F.coalesce("rule_id", F.lit("streaming_policy")), F.lit(1), "streaming_response_policy"))).otherwise(F.col("findings"))
-    return decided.withColumn("_stops", stops).withColumns({"sent": F.col("_stops") == 0, "output": output, "findings": flagged}).select(*own, "findings", "verdict", "rule_id", "sent", "output")
+    flagged = F.when(verdict == "flag", F.concat("findings", _one(F.coalesce("rule_id", F.lit("streaming_policy")), F.lit(1), "streaming_response_policy"))).otherwise(F.col("findings"))
+    return decided.withColumns({"stops": verdict.isin(*STOPS), "output": output, "findings": flagged}).select(*own, "findings", "verdict", "rule_id", "stops", "output")
+
+
+def enforce_flushes(flushes: DataFrame, policies: str | list[pol.Policy], provider: str = "openai") -> DataFrame:
+    """Decides on each flush (stream_id, flush_seq, text, any facts): adds findings, verdict, rule_id, sent and output.
+
+    The first block or hold of a stream sends an error or the hold message in its
+    place and nothing after it.  Flushes are decided one by one; only the search
+    for a stream's first stop orders the flushes of one stream.
+    """
+    own = flushes.columns
+    up_to_now = Window.partitionBy("stream_id").orderBy("flush_seq").rowsBetween(Window.unboundedPreceding, 0)
+    stops = F.sum(F.col("stops").cast("int")).over(up_to_now)
+    gated = decide(flushes, policies, provider).withColumn("_stops", stops)
+    output = F.when((F.col("_stops") == 0) | ((F.col("_stops") == 1) & F.col("stops")), F.col("output"))
+    return gated.withColumns({"sent": F.col("_stops") == 0, "output": output}).select(*own, "findings", "verdict", "rule_id", "sent", "output")
 
 
 def stream_verdicts(decided: DataFrame) -> DataFrame:

@@ -92,8 +92,8 @@ def test_anomalies_and_phases(spark):
 
 def flushes(cap, pushes):
     b = buffer.Buffer(cap)
-    out = [x[1:] for p in pushes if (x := b.push(p))]
-    return out + ([x[1:]] if (x := b.end()) else [])
+    out = [x[2:] for i, p in enumerate(pushes) if (x := b.push(p, i))]
+    return out + ([x[2:]] if (x := b.end()) else [])
 
 
 def test_buffer_recurrence():

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.gates import matches
+from palisade.functions.gates import lowered, matches
 from palisade.functions.patterns import DETECTOR_VERSIONS, DETECTORS, TOOL_CATEGORIES, TOOL_NAME_IN_TEXT, URL, URL_WITH_PARAMS, Pattern
 from palisade.functions.text import first_bytes
 
@@ -27,29 +28,37 @@ def long_enough(text: Column) -> Column:
     return F.coalesce(F.octet_length(text) >= LEAST_BYTES, F.lit(False))
 
 
+def _located(text: Column, named: tuple[Column, ...], first: Column) -> Column:
+    return F.struct(*named, (F.instr(text, first) - 1).cast("int").alias("offset"), truncate_match(first).alias("matched_text"))
+
+
 def findings(text: Column, patterns: Sequence[Pattern]) -> Column:
     """One finding for each matching pattern, with its first match; offsets count characters."""
-    rows = []
-    for p in patterns:
-        first = F.regexp_substr(text, F.lit(p.regex))
-        rows.append(F.when(matches(text, p.regex), F.struct(F.lit(p.name).alias("pattern_name"), F.lit(p.category).alias("category"), F.lit(1.0).alias("confidence"), (F.instr(text, first) - 1).cast("int").alias("offset"), truncate_match(first).alias("matched_text"))))
-    return F.coalesce(F.filter(F.array(*rows), lambda x: x.isNotNull()), F.array().cast(f"array<{_FINDING}>"))
+
+    def found(low: Column) -> Column:
+        rows = []
+        for p in patterns:
+            named = (F.lit(p.name).alias("pattern_name"), F.lit(p.category).alias("category"), F.lit(1.0).alias("confidence"))
+            # The first match is bound, since several values are made of it.
+            of = F.transform(F.array(F.regexp_substr(text, F.lit(p.regex))), partial(_located, text, named))
+            rows.append(F.when(matches(text, p.regex, low), F.element_at(of, 1)))
+        return F.array(*rows)
+
+    return F.coalesce(F.filter(lowered(text, found), lambda x: x.isNotNull()), F.array().cast(f"array<{_FINDING}>"))
 
 
 def names(text: Column, patterns: Sequence[Pattern]) -> Column:
-    return F.filter(F.array(*(F.when(matches(text, p.regex), F.lit(p.name)) for p in patterns)), lambda x: x.isNotNull())
+    return F.filter(lowered(text, lambda low: F.array(*(F.when(matches(text, p.regex, low), F.lit(p.name)) for p in patterns))), lambda x: x.isNotNull())
 
 
 def detected(text: Column, detector: str) -> Column:
-    found = F.lit(False)
-    for p in DETECTORS[detector]:
-        found = found | matches(text, p.regex)
+    found = lowered(text, lambda low: reduce(lambda a, b: a | b, (matches(text, p.regex, low) for p in DETECTORS[detector]), F.lit(False)))
     return F.coalesce(found, F.lit(False))
 
 
 def first_category(text: Column, patterns: Sequence[Pattern]) -> Column:
     """Category of the first matching pattern in catalog order; no pattern after it is tried."""
-    return F.coalesce(*(F.when(matches(text, p.regex), F.lit(p.category)) for p in patterns), F.lit(""))
+    return F.coalesce(lowered(text, lambda low: F.coalesce(*(F.when(matches(text, p.regex, low), F.lit(p.category)) for p in patterns))), F.lit(""))
 
 
 def detect(text: Column, detector: str) -> Column:

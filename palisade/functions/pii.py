@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import partial, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions.gates import matches
+from palisade.functions.gates import gate, lowered, matches
 from palisade.functions.patterns import PII, PII_PRESETS, PiiPattern
 
 #: Shorter texts (in bytes) are not scanned.
@@ -40,25 +40,27 @@ def preset(name: str) -> tuple[PiiPattern, ...]:
 
 
 def has_pii(text: Column, patterns: Sequence[PiiPattern] = PII) -> Column:
-    found = F.lit(False)
-    for p in patterns:
-        found = found | matches(text, p.regex)
+    found = lowered(text, lambda low: reduce(lambda a, b: a | b, (matches(text, p.regex, low) for p in patterns), F.lit(False)))
     return F.coalesce(found, F.lit(False))
 
 
 def pattern_names(text: Column, patterns: Sequence[PiiPattern] = PII) -> Column:
     """Names of the patterns that match, in scan order."""
-    hits = F.array(*(F.when(matches(text, p.regex), F.lit(p.name)) for p in patterns))
+    hits = lowered(text, lambda low: F.array(*(F.when(matches(text, p.regex, low), F.lit(p.name)) for p in patterns)))
     return F.when(F.octet_length(text) >= LEAST_BYTES, F.filter(hits, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def scan_only(text: Column, location: str, patterns: Sequence[PiiPattern] = PII) -> Column:
     """Findings by count, most first (ties in scan order), all counted on the original text."""
-    rows = []
-    for i, p in enumerate(patterns):
-        n = F.when(matches(text, p.regex), F.regexp_count(text, F.lit(p.regex)))
-        rows.append(F.when(n > 0, F.struct((-n).alias("k"), F.lit(i).alias("i"), F.lit(p.name).alias("pattern"), F.lit(p.token).alias("redacted_to"))))
-    ordered = F.array_sort(F.filter(F.array(*rows), lambda x: x.isNotNull()))
+
+    def counts(low: Column) -> Column:
+        rows = []
+        for i, p in enumerate(patterns):
+            need, n = gate(low, p.regex), F.regexp_count(text, F.lit(p.regex))
+            rows.append(F.struct((-(n if need is None else F.when(need, n).otherwise(0))).alias("k"), F.lit(i).alias("i"), F.lit(p.name).alias("pattern"), F.lit(p.token).alias("redacted_to")))
+        return F.array(*rows)
+
+    ordered = F.array_sort(F.filter(lowered(text, counts), lambda x: x["k"] < 0))
     findings = F.transform(ordered, lambda x: F.struct(x["pattern"], x["redacted_to"], (-x["k"]).cast("int").alias("count"), F.lit(location).alias("location")))
     return F.when(F.octet_length(text) >= LEAST_BYTES, findings).otherwise(F.array().cast(f"array<{FINDING}>"))
 
@@ -74,10 +76,10 @@ def scan_and_redact(df: DataFrame, text: str, location: str, patterns: Sequence[
     earlier pattern can use up what a later one would match.  A count is the growth
     in occurrences of the token, one at least where the text changed.
     """
-    out = df.withColumn("_r0", F.col(text))
+    out = df.withColumns({"_r0": F.col(text), "_low": F.lower(text)})
     for i, p in enumerate(patterns):
         quoted = p.token.replace("\\", "\\\\").replace("$", "\\$")
-        here = (F.octet_length(text) >= LEAST_BYTES) & matches(F.col(text), p.regex)
+        here = (F.octet_length(text) >= LEAST_BYTES) & matches(F.col(text), p.regex, F.col("_low"))
         out = out.withColumn(f"_r{i + 1}", F.when(here, F.regexp_replace(F.col(f"_r{i}"), p.regex, quoted)).otherwise(F.col(f"_r{i}")))
     rows = []
     for i, p in enumerate(patterns):
@@ -85,10 +87,33 @@ def scan_and_redact(df: DataFrame, text: str, location: str, patterns: Sequence[
         grown = F.greatest(F.lit(1), (_occurrences(b, p.token) - _occurrences(a, p.token)).cast("int"))
         rows.append(F.when(a != b, F.struct(F.lit(p.name).alias("pattern"), F.lit(p.token).alias("redacted_to"), grown.alias("count"), F.lit(location).alias("location"))))
     out = out.withColumn(findings, F.filter(F.array(*rows), lambda x: x.isNotNull())).withColumn(redacted, F.col(f"_r{len(patterns)}"))
-    return out.drop(*(f"_r{i}" for i in range(len(patterns) + 1)))
+    return out.drop("_low", *(f"_r{i}" for i in range(len(patterns) + 1)))
+
+
+#: A string value of a content or text field, with what is before it; the value ends before its closing quote.
+_VALUE = r'(?s)"(?:content|text)": ?"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_HEAD = r'^"(?:content|text)": ?"'
+
 
+def redact_text(text: Column, patterns: Sequence[PiiPattern] = PII) -> Column:
+    """The text with matches replaced, pattern after pattern; patterns are chosen by the original text.
+
+    A pattern's step is a fold over one value, so each is applied to the running
+    text once and nothing is computed twice.
+    """
+
+    def of(low: Column) -> Column:
+        out = text
+        for p in patterns:
+            quoted = p.token.replace("\\", "\\\\").replace("$", "\\$")
+            out = F.element_at(F.transform(F.array(out), partial(_replaced, text, low, p.regex, quoted)), 1)
+        return out
+
+    return lowered(text, of)
 
-_VALUE = re.compile(r'"(?:content|text)": ?"((?:[^"\\]|\\.)*)"', re.S)
+
+def _replaced(text: Column, low: Column, regex: str, token: str, running: Column) -> Column:
+    return F.when(matches(text, regex, low), F.regexp_replace(running, regex, token)).otherwise(running)
 
 
 def redact_response(body: Column, patterns: Sequence[PiiPattern] = PII) -> Column:
@@ -96,26 +121,19 @@ def redact_response(body: Column, patterns: Sequence[PiiPattern] = PII) -> Colum
 
     Fields are found in the bytes as they are, valid JSON or not; empty values and
     values under 7 bytes stay.  A body without such a field is redacted as a whole.
+    The body is cut into fields and what lies between, and put together again.
     """
-    compiled = [(re.compile(p.regex, re.A), p.token) for p in patterns]
-
-    def clean(text: str) -> str:
-        for regex, token in [c for c in compiled if c[0].search(text)]:
-            text = regex.sub(lambda _, t=token: t, text)
-        return text
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        if not _VALUE.search(text):
-            return clean(text) if len(text.encode()) >= LEAST_BYTES else text
-        return _VALUE.sub(lambda m: m.group() if len(m.group(1).encode()) < 7 else m.group()[: m.start(1) - m.start()] + clean(m.group(1)) + '"', text)
 
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(one, na_action="ignore")
+    def field(one: Column) -> Column:
+        head = F.regexp_substr(one, F.lit(_HEAD))
+        value = F.substring(one, F.length(head) + 1, F.length(one) - F.length(head) - 1)
+        return F.when(F.octet_length(value) < 7, one).otherwise(F.concat(head, redact_text(value, patterns), F.lit('"')))
 
-    return run(body)
+    between = F.split(body, _VALUE, -1)
+    fields = F.transform(F.regexp_extract_all(body, F.lit(_VALUE), F.lit(0)), field)
+    joined = F.array_join(F.transform(F.arrays_zip(between.alias("a"), fields.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), "")
+    whole = F.when(F.octet_length(body) >= LEAST_BYTES, redact_text(body, patterns)).otherwise(body)
+    return F.when(body.rlike(_VALUE), joined).otherwise(whole)
 
 
 def scan_bytes(raw: Column, location: str, patterns: Sequence[PiiPattern] = PII) -> Column:

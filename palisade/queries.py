@@ -121,20 +121,27 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", pii.has_pii(F.col("t")).alias("has_pii"))
 
 
-def _redact_sql() -> str:
-    steps = [DOCS, "r0 AS (SELECT doc_id, t, t AS r FROM docs)"]
+def redact_steps(source: str, keys: str) -> list[str]:
+    """CTEs r0 on: column t of ``source`` with matches replaced is column r of the last one."""
+    steps = [f"r0 AS (SELECT {keys}, t, t AS r FROM {source})"]
     for i, p in enumerate(PII):
-        steps.append(f"r{i + 1} AS (SELECT doc_id, t, CASE WHEN {rx('t', p.regex)} THEN regexp_replace(r, {q(p.regex)}, {q(p.token)}, 'g') ELSE r END AS r FROM r{i})")
-    return f"WITH {', '.join(steps)} SELECT doc_id, md5(r) AS redacted_md5, r <> t AS changed FROM r{len(PII)}"
+        steps.append(f"r{i + 1} AS (SELECT {keys}, t, CASE WHEN strlen(t) >= {pii.LEAST_BYTES} AND {rx('t', p.regex)} THEN regexp_replace(r, {q(p.regex)}, {q(p.token)}, 'g') ELSE r END AS r FROM r{i})")
+    return steps
 
 
-@query("pii_redact_text", _redact_sql())
+REDACTED = f"r{len(PII)}"
+
+
+@query("pii_redact_text", f"WITH {DOCS}, {', '.join(redact_steps('docs', 'doc_id'))} SELECT doc_id, md5(r) AS redacted_md5, r <> t AS changed FROM {REDACTED}")
 def _(spark, d):
     r = pii.scan_and_redact(documents(spark, d), "t", "request")
     return r.select("doc_id", F.md5(F.col("redacted_text").cast("binary")).alias("redacted_md5"), (F.col("redacted_text") != F.col("t")).alias("changed"))
 
 
-@query("pii_redact_response")
+_VALUES = f"""v AS (SELECT doc_id, regexp_replace(t, '["\\\\\\n\\r\\t]', ' ', 'g') AS t FROM docs)"""
+
+
+@query("pii_redact_response", f"""WITH {DOCS}, {_VALUES}, {', '.join(redact_steps('v', 'doc_id'))} SELECT doc_id, md5('{{"choices":[{{"message":{{"content":"' || r || '"}}}}]}}') AS body_md5 FROM {REDACTED}""")
 def _(spark, d):
     body = F.concat(F.lit('{"choices":[{"message":{"content":"'), F.regexp_replace("t", r'["\\\n\r\t]', " "), F.lit('"}}]}'))
     return documents(spark, d).select("doc_id", F.md5(pii.redact_response(body).cast("binary")).alias("body_md5"))
@@ -701,9 +708,26 @@ def _(spark, d):
     return g.select("stream_id", "flush_seq", F.md5(F.col("text").cast("binary")).alias("text_md5"), "reason")
 
 
-@query("stream_flush_capped")
+def flush_ctes(source: str, cap: int) -> str:
+    """CTEs that end in f (stream_id, flush_seq, last_seq, text, reason): the buffer's recurrence over ``source`` (stream_id, seq, chunk), chunk by chunk."""
+    step = "CASE WHEN s.reason <> '' THEN {} ELSE {} END"
+    text = f"({step.format("''", 's.text')} || n.chunk)"
+    return f"""n AS (SELECT stream_id, seq, chunk, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY stream_id) AS n FROM {source} WHERE chunk <> ''),
+  walk AS (
+    SELECT stream_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq, '' AS text, 'begin' AS reason, -1 AS flush_seq FROM n GROUP BY stream_id
+    UNION ALL
+    SELECT n.stream_id, n.i, n.seq, {text}, CASE WHEN strlen({text}) >= {cap} THEN 'cap' WHEN regexp_matches(n.chunk, '[ \\n\\r\\t]') THEN 'boundary' WHEN n.i = n.n THEN 'end' ELSE '' END, s.flush_seq + CASE WHEN s.reason <> '' THEN 1 ELSE 0 END
+    FROM walk s JOIN n ON n.stream_id = s.stream_id AND n.i = s.i + 1),
+  f AS (SELECT stream_id, flush_seq, seq AS last_seq, text, reason FROM walk WHERE reason NOT IN ('', 'begin'))"""
+
+
+#: Deltas of a text: what ends in a vowel.
+_DELTAS = "regexp_extract_all({}, '(?s)[^aeiou]*[aeiou]|[^aeiou]+$')"
+
+
+@query("stream_flush_capped", f"WITH RECURSIVE x AS (SELECT conv_id * 1000 + turn AS stream_id, {_DELTAS.format('text')} AS p FROM conversations), c AS (SELECT stream_id, unnest(range(len(p))) AS seq, unnest(p) AS chunk FROM x), {flush_ctes('c', 12)} SELECT stream_id, flush_seq, last_seq, text, reason FROM f")
 def _(spark, d):
-    return buffer.flush_capped(_chunks(spark, d), 64)
+    return buffer.flush_capped(_chunks(spark, d), 12).drop("ended_at")
 
 
 @query("stream_totals", "WITH c AS (SELECT conv_id, len(string_split(text, ' ')) AS n, octet_length(encode(replace(text, ' ', ''))) AS b FROM conversations) SELECT conv_id, CAST(sum(n) AS BIGINT) AS frames_received, CAST(sum(b) AS BIGINT) AS bytes_received FROM c GROUP BY conv_id")

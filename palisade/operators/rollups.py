@@ -50,6 +50,20 @@ def by_category(policies: DataFrame) -> DataFrame:
     return policies.where("id is not null").groupBy("category", "enforcement").agg(F.count("*").alias("policies"))
 
 
+def coverage_of(policies: DataFrame, matched: DataFrame, key: str) -> DataFrame:
+    """Policies by framework, and the interactions (column ``key``) in which any of them matched (rule_id)."""
+    rules = policies.where("id is not null").select(F.explode("frameworks").alias("framework"), "rule_id", "enforcement")
+    met = rules.join(matched, "rule_id").groupBy("framework").agg(F.count_distinct(key).alias("interactions"))
+    return coverage(policies).join(met, "framework", "left").withColumn("interactions", F.coalesce("interactions", F.lit(0)))
+
+
+def by_category_of(policies: DataFrame, matched: DataFrame) -> DataFrame:
+    """Policies by category and enforcement, and how often they matched; matches are counted by rule first."""
+    met = matched.groupBy("rule_id").agg(F.count("*").alias("n"))
+    rows = policies.where("id is not null").join(met, "rule_id", "left")
+    return rows.groupBy("category", "enforcement").agg(F.count("*").alias("policies"), F.coalesce(F.sum("n"), F.lit(0)).alias("matches"))
+
+
 def events_by_framework(audit: DataFrame) -> DataFrame:
     """Audited interactions under each framework, by action."""
     return audit.select(F.explode("regulatory_mapping").alias("framework"), "action").groupBy("framework", "action").agg(F.count("*").alias("events"))

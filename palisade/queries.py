@@ -18,8 +18,9 @@ from palisade.functions.patterns import DETECTORS, PII, TOOL_CATEGORIES, URL, UR
 from palisade.operators import audit, economics, rollups, routing
 from palisade.plans import default_policies
 from palisade.plans import policy as pol
+from palisade.plans import tenants
 from palisade.probes import PROBES, TOOLS
-from palisade.streaming import buffer, frames, scan
+from palisade.streaming import buffer, frames, live, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -415,28 +416,74 @@ _policy_values = ", ".join(f"({q(p.rule_id)}, {q(p.annotations['category'])}, {q
 POLICIES = f"p AS (SELECT * FROM (VALUES {_policy_values}) v(rule_id, category, enforcement, frameworks))"
 
 
-@query("policy_coverage", f"WITH {POLICIES} SELECT framework, count(*) AS policies, count(*) FILTER (enforcement = 'block') AS blocking FROM (SELECT enforcement, unnest(frameworks) AS framework FROM p) GROUP BY framework")
+@query(
+    "policy_coverage",
+    f"""WITH {REQS}, {CTX}, {POLICIES}, m AS ({_matched_sql}), u AS (SELECT rule_id, enforcement, unnest(frameworks) AS framework FROM p)
+    SELECT framework, count(DISTINCT u.rule_id) AS policies, count(DISTINCT u.rule_id) FILTER (enforcement = 'block') AS blocking, count(DISTINCT conv_id) AS interactions FROM u LEFT JOIN m ON m.rule_id = u.rule_id GROUP BY framework""",
+)
 def _(spark, d):
-    return rollups.coverage(pol.to_frame(spark, default_policies.policies()))
+    return rollups.coverage_of(pol.to_frame(spark, default_policies.policies()), _matched(spark, d), "conv_id")
+
 
+def _matched(spark, d) -> DataFrame:
+    return _decided(spark, d).select("conv_id", F.explode("decision.matched_rules").alias("r")).select("conv_id", "r.rule_id")
 
-@query("policies_by_category", f"WITH {POLICIES} SELECT category, enforcement, count(*) AS policies FROM p GROUP BY ALL")
+
+@query("policies_by_category", f"WITH {REQS}, {CTX}, {POLICIES}, m AS ({_matched_sql}) SELECT p.category, enforcement, count(DISTINCT p.rule_id) AS policies, count(conv_id) AS matches FROM p LEFT JOIN m ON m.rule_id = p.rule_id GROUP BY ALL")
 def _(spark, d):
-    return rollups.by_category(pol.to_frame(spark, default_policies.policies()))
+    return rollups.by_category_of(pol.to_frame(spark, default_policies.policies()), _matched(spark, d))
 
 
 _named = pol.pattern_names(_ALL)
 
 
-@query("policy_missing_patterns", f"SELECT policy_id, pattern_name FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in _named)}) v(policy_id, pattern_name) WHERE pattern_name NOT IN ('credit_card', 'ssn', 'email', 'phone')")
+@query("policy_missing_patterns", f"WITH {DOCS}, c AS ({_counts_sql}), n AS (SELECT * FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in _named)}) v(policy_id, pattern_name) WHERE pattern_name NOT IN ('credit_card', 'ssn', 'email', 'phone')) SELECT policy_id, pattern_name, count(doc_id) AS documents FROM n LEFT JOIN c ON pattern = pattern_name AND c.n > 0 GROUP BY ALL")
 def _(spark, d):
+    """Patterns that policies name, a small catalog lacks, and documents hold."""
     compiled = spark.createDataFrame([(p.name,) for p in pii.preset("code_default")], "pattern_name string")
-    return pol.missing_patterns(spark, default_policies.policies(), compiled)
+    missing = pol.missing_patterns(spark, default_policies.policies(), compiled)
+    held = _counts(documents(spark, d), "doc_id").groupBy(F.col("pattern").alias("pattern_name")).agg(F.count("*").alias("documents"))
+    return missing.join(held, "pattern_name", "left").select("policy_id", "pattern_name", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+_FLAGS = [n for n, (k, _) in pol.CONTEXT.items() if k == "boolean"]
+_CTX_FLAGS = ("model_approved", "fallback_available", "data_residency_compliant", "anomaly_detected", *(f"{n}_detected" for n in _SYNC))
 
 
-@query("detector_vocabulary", "SELECT field, kind FROM (VALUES " + ", ".join(f"({q(n)}, {q(k)})" for n, (k, _) in pol.CONTEXT.items()) + ") v(field, kind)")
+@query("detector_vocabulary", f"WITH {REQS}, {CTX} " + " UNION ALL ".join(f"SELECT {q(n)} AS field, 'boolean' AS kind, count(*) FILTER ({n if n in _CTX_FLAGS else str(pol.CONTEXT[n][1]).lower()}) AS rows_true FROM ctx" for n in _FLAGS))
 def _(spark, d):
-    return spark.createDataFrame([(n, k) for n, (k, _) in pol.CONTEXT.items()], "field string, kind string")
+    """The boolean facts that policies may read, and in how many rows each is true."""
+    full = pol.with_defaults(contexts(spark, d))
+    counts = full.agg(*(F.count_if(F.col(n)).alias(n) for n in _FLAGS))
+    return counts.unpivot([], _FLAGS, "field", "rows_true").select("field", F.lit("boolean").alias("kind"), "rows_true")
+
+
+# --- policies of many tenants ---------------------------------------------------------------
+
+_TENANTS = 1000
+_OWN = ("flag", "hold", "block")
+
+
+def _tenant_text(k: int) -> str:
+    return f"""permit(principal, action, resource);
+    @id("own-{k}") @enforcement("{_OWN[k % 3]}") forbid(principal, action == Gov::Action::"llm.request", resource) when {{ context.budget_remaining_cents < {k % 20 * 60} && !(context.model == "{_MODELS[k % 4]}" || context.injection_detected) }};
+    @id("shared") @enforcement("flag") forbid(principal, action, resource) when {{ context.pii_findings.containsAny(["email", "ssn"]) }} unless {{ context.model_approved }};"""
+
+
+@query(
+    "tenant_decisions",
+    f"""WITH {REQS}, {CTX}, x AS (SELECT *, conv_id * 7 % {_TENANTS + 50} AS k FROM ctx),
+    h AS (SELECT conv_id, k, k < {_TENANTS} AND budget_remaining_cents < k % 20 * 60 AND NOT ({duck_pick(_MODELS, 'k')} = model OR injection_detected) AS own, k < {_TENANTS} AND list_has_any(pii_findings, ['email', 'ssn']) AND NOT model_approved AS shared FROM x),
+    base AS ({_decision_sql(_ALL)})
+    SELECT conv_id, k AS tenant, CASE WHEN k >= {_TENANTS} THEN base.decided WHEN own THEN {duck_pick(_OWN, 'k')} WHEN shared THEN 'flag' ELSE 'allow' END AS decided,
+      CASE WHEN k >= {_TENANTS} THEN base.rule_id WHEN own THEN 'own-' || k WHEN shared THEN 'shared' ELSE 'policy0' END AS rule_id FROM h JOIN base USING (conv_id)""",
+)
+def _(spark, d):
+    """A thousand tenants with rules of their own, and some without; all in one projection and one join."""
+    texts = {(str(k), ""): pol.parse(_tenant_text(k)) for k in range(_TENANTS)} | {tenants.BASELINE: _ALL}
+    k = F.col("conv_id") * 7 % (_TENANTS + 50)
+    rows = contexts(spark, d).withColumns({"tenant_id": k.cast("string"), "policy_version": F.lit(""), "tenant": k})
+    return tenants.evaluate(tenants.Compiled(texts), rows).select("conv_id", "tenant", F.col("decision.action").alias("decided"), "decision.rule_id")
 
 
 # --- routing -------------------------------------------------------------------------
@@ -739,7 +786,7 @@ def _(spark, d):
 def _sse(provider: str, sql: str):
     @query(f"sse_{provider}", sql)
     def _(spark, d):
-        c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("m"), F.col("conv_id").cast("string")).alias("x"))
+        c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
         end = {"openai": "data: [DONE]\n\n", "anthropic": "event: message_stop\ndata: {}\n\n", "gemini": 'data: {"candidates":[{"finishReason":"STOP"}]}\n\n'}[provider]
         raw = F.concat(frames.encode_text(provider, F.col("x")), F.lit(end))
         events = c.select("conv_id", "turn", F.explode(F.filter(F.split(raw, "\n\n"), lambda e: e != "")).alias("e"))
@@ -748,13 +795,13 @@ def _sse(provider: str, sql: str):
 
 
 for _p in ("openai", "anthropic", "gemini"):
-    _sse(_p, "SELECT conv_id, turn, 'm' || conv_id AS delta, false AS is_done, false AS is_error FROM conversations UNION ALL SELECT conv_id, turn, NULL, true, false FROM conversations")
+    _sse(_p, "SELECT conv_id, turn, text AS delta, false AS is_done, false AS is_error FROM conversations UNION ALL SELECT conv_id, turn, NULL, true, false FROM conversations")
 
 
 @query(
     "bedrock_frames",
-    """SELECT conv_id, turn, 'contentBlockDelta' AS event, contains(text, '"message_stop"') AS is_done, false AS is_error FROM conversations
-    UNION ALL SELECT conv_id, turn, 'messageStop', true, false FROM conversations""",
+    """SELECT conv_id, turn, 'contentBlockDelta' AS event, text AS data, contains(text, '"message_stop"') AS is_done, false AS is_error FROM conversations
+    UNION ALL SELECT conv_id, turn, 'messageStop', '{}', true, false FROM conversations""",
 )
 def _(spark, d):
     @F.pandas_udf("binary")
@@ -762,7 +809,7 @@ def _(spark, d):
         return t.map(lambda x: frames.encode_bedrock("contentBlockDelta", x.encode()) + frames.encode_bedrock("messageStop", b"{}"))
 
     c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(frames.parse_bedrock(encode(F.col("text")))).alias("f"))
-    return c.select("conv_id", "turn", "f.event", "f.is_done", "f.is_error")
+    return c.select("conv_id", "turn", "f.event", "f.data", "f.is_done", "f.is_error")
 
 
 @query("stream_enforced", f"WITH c AS (SELECT conv_id, turn, min(turn) FILTER ({any_rx('text', DETECTORS['injection'])} OR turn = 4) OVER (PARTITION BY conv_id) AS stop FROM conversations) SELECT conv_id, turn, stop IS NULL OR turn < stop AS emitted FROM c")
@@ -812,6 +859,31 @@ def _(spark, d):
     return e.select(F.col("stream_id").alias("conv_id"), F.col("flush_seq").alias("turn"), "verdict", "sent", kind.alias("kind"))
 
 
+_CAP = 24
+
+
+@query(
+    "stream_enforced_output",
+    f"""WITH RECURSIVE {TURNS}, x AS (SELECT conv_id * 1000 + turn AS stream_id, {_DELTAS.format("t || ' '")} AS p FROM turns), c AS (SELECT stream_id, unnest(range(len(p))) AS seq, unnest(p) AS chunk FROM x),
+    {flush_ctes('c', _CAP)}, ft AS (SELECT stream_id, flush_seq, reason, text AS t FROM f), {', '.join(redact_steps('ft', 'stream_id, flush_seq, reason'))},
+    v AS (SELECT *, CASE WHEN r = t OR reason = 'end' THEN 'allow' WHEN stream_id % 3 = 0 THEN 'block' ELSE 'flag' END AS verdict FROM {REDACTED}),
+    s AS (SELECT *, sum(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY flush_seq) AS stops FROM v)
+    SELECT stream_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY flush_seq) - 1 AS INT) AS place, reason, verdict, stops = 0 AS sent, CASE WHEN stops = 0 THEN r WHEN stops = 1 AND verdict = 'block' THEN 'long-block' END AS output, r <> t AS found FROM s""",
+)
+def _(spark, d):
+    """Responses as providers send them, cut into chunks anywhere: what goes out of each flush, and why."""
+    t = _turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.concat("t", F.lit(" ")).alias("t"))
+    deltas = F.transform(F.regexp_extract_all("t", F.lit("(?s)[^aeiou]*[aeiou]|[^aeiou]+$"), F.lit(0)), lambda x: frames.encode_text("openai", x))
+    body = t.select("stream_id", F.concat(F.array_join(deltas, ""), F.lit("data: [DONE]\n\n")).alias("b"))
+    chunks = body.select("stream_id", F.posexplode(F.regexp_extract_all("b", F.lit("(?s).{1,97}"), F.lit(0))).alias("seq", "chunk"))
+    facts = body.select("stream_id", F.when(F.col("stream_id") % 3 == 0, 4).otherwise(0).cast("long").alias("tool_count"))
+    items = live.enforce(chunks, _STREAM_RULES, _CAP, facts=facts).where("kind = 'text'")
+    data = F.substring("output", 7, 1 << 30)
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("at")) - 1
+    output = F.coalesce(frames.text_delta(data), F.get_json_object(data, "$.error.message"))
+    return items.select("stream_id", place.cast("int").alias("place"), "reason", "verdict", "sent", output.alias("output"), F.exists("findings", lambda f: f["location"] == "streaming_response").alias("found"))
+
+
 _turn_hits = "(" + " + ".join(f"CASE WHEN {rx('t', p.regex)} THEN 1 ELSE 0 END" for p in PII) + ")"
 
 

@@ -34,12 +34,39 @@ def audit_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def stream_audit(audit: DataFrame, stats: DataFrame, stream_findings: DataFrame) -> DataFrame:
-    """Audit rows of streams: request findings and those of the stream that have a token; the verdict of the stream."""
-    extra = stream_findings.groupBy("request_id").agg(F.filter(F.array_sort(F.collect_list("finding")), lambda f: f["redacted_to"] != "").alias("_more"))
-    out = audit.join(stats, "request_id", "left").join(extra, "request_id", "left")
-    none = F.expr("slice(findings, 1, 0)")
-    return out.withColumn("findings", F.concat("findings", F.coalesce("_more", none))).drop("_more")
+def stream_audit(audit: DataFrame, totals: DataFrame, provider: str = "openai", scanned: bool = True) -> DataFrame:
+    """Audit rows of streams, from those of their requests and ``streaming.live.totals`` (request_id for stream_id).
+
+    Findings of the stream that replaced something join the request's; the others
+    stay with the stream.  Adds streaming; enforcement gets streaming_action, and
+    a snapshot says that personal data was found if the stream held any.
+    """
+    t = totals.select(F.col("stream_id").cast("string").alias("_stream"), *(F.col(c).alias(f"_{c}") for c in totals.columns if c != "stream_id"))
+    joined = audit.join(t, audit["request_id"].cast("string") == t["_stream"], "left")
+    found = F.coalesce(F.filter("_findings", lambda f: f["redacted_to"] != ""), F.expr("slice(_findings, 1, 0)"))
+    own = next(f.dataType for f in audit.schema if f.name == "findings")
+    more = F.coalesce(F.concat("findings", found.cast(own)), F.col("findings"))
+    streaming = F.when(
+        F.col("_stream").isNotNull(),
+        F.struct(
+            F.lit(provider).alias("provider"),
+            F.col("_verdict").alias("action"),
+            F.lit("enabled" if scanned else "disabled").alias("streaming_scan"),
+            F.col("_findings").alias("findings"),
+            *(F.col(f"_{c}").alias(c) for c in ("bytes_received", "bytes_emitted", "frames_emitted")),
+            F.struct(*(F.col(f"_flushes_{c}").alias(f"on_{c}") for c in ("boundary", "cap", "end"))).alias("buffer_flushes"),
+            F.struct(*(F.col(f"_{c}").alias(c) for c in ("first_byte_ms", "stream_duration_ms"))).alias("latency"),
+        ),
+    )
+    enforcement = F.col("enforcement").withField("streaming_action", F.col("_verdict")).withField("observed", F.col("enforcement.action") == "flag")
+    patched = F.regexp_replace("context_snapshot", '"pii_detected":false', '"pii_detected":true')
+    snapshot = F.when(F.size(more) > 0, patched).otherwise(F.col("context_snapshot"))
+    return joined.withColumns({"findings": more, "enforcement": enforcement, "context_snapshot": snapshot, "streaming": streaming}).select(*audit.columns, "streaming")
+
+
+def compact_enrichment(parent: Column) -> Column:
+    """The line of an enrichment row."""
+    return F.concat(F.lit("[ENRICH] parent="), parent)
 
 
 def compact_line(action: Column, method: Column, path: Column, model: Column, matched: Column, patterns: Column, rule_id: Column, latency_ms: Column) -> Column:

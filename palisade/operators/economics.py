@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ def usage(body: Column, provider: Column) -> Column:
 
 
 def with_cost(usages: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds cost_usd; models without a price cost nothing.  The price table is a catalog of models."""
-    joined = usages.join(F.broadcast(prices), "model", "left")
+    """Adds cost_usd; models without a price cost nothing.  Spark broadcasts the price table where its statistics show it to be small."""
+    joined = usages.join(prices, "model", "left")
     cost = F.col("prompt_tokens") / 1000 * F.coalesce("prompt_per_1k", F.lit(0.0)) + F.col("completion_tokens") / 1000 * F.coalesce("completion_per_1k", F.lit(0.0))
     return joined.withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("prompt_per_1k", "completion_per_1k")
 
@@ -148,6 +149,54 @@ def rate_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
     return counts.join(limits, ["scope", "scope_id"]).where(F.col("n") > F.col("per_minute"))
 
 
+def _request_scopes(limits: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, minute, ts, place, scope, scope_id and per_minute for each limited scope of a request."""
+    cols = {"global": F.lit("*"), "tenant": F.when(F.col("tenant_id") != "default", F.col("tenant_id")), "api_key": F.col("api_key"), "agent": F.col("agent_id"), "model": F.col("model")}
+    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(s).alias("scope"), c.alias("scope_id")) for i, (s, c) in enumerate(cols.items())))
+    each = requests.select("request_id", "ts", F.date_trunc("minute", "ts").alias("minute"), F.explode(rows).alias("s")).where("s.scope_id is not null")
+    return each.select("request_id", "ts", "minute", "s.*").join(limits.select("scope", "scope_id", "per_minute"), ["scope", "scope_id"])
+
+
+def take(scopes: list, counts: dict) -> str | None:
+    """Count a request under all its scopes (scope, scope_id, limit), or say which is full and count it under none."""
+    for scope, scope_id, limit in scopes:
+        if counts.get((scope, scope_id), 0) >= limit:
+            return scope
+    for scope, scope_id, _ in scopes:
+        counts[scope, scope_id] = counts.get((scope, scope_id), 0) + 1
+    return None
+
+
+def admit(requests: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds admitted and refused_by: requests of a minute are let in one after another, under several limits at once.
+
+    A request needs room in all its scopes (limits: scope, scope_id, per_minute)
+    and takes it in all, or in none if it is refused; the first full scope is named.  Requests go
+    by ts and request_id, which is unique.  Requests are counted by minute and
+    scope first: a scope that cannot overflow refuses nobody and is left out, so
+    only requests of crowded scopes are taken in order, minute by minute, by a
+    task that holds the counts of one minute.
+    """
+    own = requests.columns
+    each = _request_scopes(limits, requests)
+    crowded = each.groupBy("minute", "scope", "scope_id", "per_minute").agg(F.count("*").alias("_n")).where("_n > per_minute").drop("_n", "per_minute")
+    tight = each.join(crowded, ["minute", "scope", "scope_id"]).groupBy("minute", "ts", "request_id").agg(F.array_sort(F.collect_list(F.struct("place", "scope", "scope_id", "per_minute"))).alias("scopes"))
+
+    def run(batches):
+        minute, counts = None, {}
+        for batch in batches:
+            out = []
+            for at, request, scopes in zip(batch["minute"], batch["request_id"], batch["scopes"], strict=True):
+                if at != minute:
+                    minute, counts = at, {}
+                out.append((request, take([(s["scope"], s["scope_id"], s["per_minute"]) for s in scopes], counts)))
+            yield pd.DataFrame(out, columns=["request_id", "refused_by"])
+
+    kind = next(f.dataType.simpleString() for f in requests.schema if f.name == "request_id")
+    decided = tight.repartition("minute").sortWithinPartitions("minute", "ts", "request_id").select("minute", "request_id", "scopes").mapInPandas(run, f"request_id {kind}, refused_by string")
+    return requests.join(decided.where("refused_by is not null"), "request_id", "left").select(*own, F.col("refused_by").isNull().alias("admitted"), "refused_by")
+
+
 def first_breach(breaches: DataFrame) -> DataFrame:
     """The first scope over its limit in each minute."""
     return breaches.groupBy("minute").agg(F.min_by(F.struct("scope", "scope_id", "n", "per_minute"), F.struct("place", "scope_id")).alias("b")).select("minute", "b.*")

@@ -18,22 +18,45 @@ def phases_long(samples: DataFrame, keys: list[str], phases: tuple[str, ...] = P
     return samples.unpivot(keys, list(phases), "phase", "ms").where("ms is not null")
 
 
-def hourly(samples: DataFrame, exact: bool = True) -> DataFrame:
-    """Percentiles by hour, agent and model.  Without ``exact`` mergeable sketches are kept instead of all values."""
-
-    def p(c: str | Column, q: float) -> Column:
-        return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10_000)
-
-    share = F.when(F.col("total_ms") > 0, (F.col("total_ms") - F.col("upstream_ms")) / F.col("total_ms") * 100)
-    return samples.groupBy(F.date_trunc("hour", "ts").alias("hour"), "agent_id", "model").agg(
-        F.count("*").alias("sample_count"),
-        p("total_ms", 0.5).alias("total_ms_p50"),
-        p("total_ms", 0.95).alias("total_ms_p95"),
-        p("total_ms", 0.99).alias("total_ms_p99"),
-        p("upstream_ms", 0.5).alias("upstream_ms_p50"),
-        p(share, 0.5).alias("overhead_pct_p50"),
-        *(p(c, 0.5).alias(f"{c}_p50") for c in ("pii_request_ms", "cedar_request_ms", "audit_write_ms") if c in samples.columns),
-    )
+def _share() -> Column:
+    return F.when(F.col("total_ms") > 0, (F.col("total_ms") - F.col("upstream_ms")) / F.col("total_ms") * 100)
+
+
+#: Size of quantile sketches: the rank error is about 1.3 % at 200 and 0.7 % at 400.
+SKETCH_K = 400
+#: What a rollup keeps percentiles of, where the samples have it.
+TIMED = ("total_ms", "upstream_ms", "overhead_pct", "pii_request_ms", "cedar_request_ms", "audit_write_ms")
+
+
+def sketches(samples: DataFrame, keys: tuple[str, ...] = ("agent_id", "model"), unit: str = "hour") -> DataFrame:
+    """One row for each period and key, with a quantile sketch of every timed phase: what a rollup stores.
+
+    Sketches are of bounded size, whatever the samples, and merge: see ``merged``.
+    """
+    rows = samples.withColumn("overhead_pct", _share())
+    timed = [c for c in TIMED if c in rows.columns]
+    return rows.groupBy(F.date_trunc(unit, "ts").alias(unit), *keys).agg(F.count("*").alias("sample_count"), *(F.kll_sketch_agg_double(F.col(c).cast("double"), SKETCH_K).alias(f"{c}_sketch") for c in timed))
+
+
+def merged(stored: DataFrame, keys: tuple[str, ...] = ("agent_id", "model"), unit: str = "day", of: str = "hour") -> DataFrame:
+    """Stored sketches of shorter periods as those of longer ones."""
+    names = [c for c in stored.columns if c.endswith("_sketch")]
+    return stored.groupBy(F.date_trunc(unit, of).alias(unit), *keys).agg(F.sum("sample_count").alias("sample_count"), *(F.kll_merge_agg_double(c).alias(c) for c in names))
+
+
+def quantile(sketch: str | Column, q: float) -> Column:
+    """A quantile of a sketch; null where nothing was measured."""
+    of = F.col(sketch) if isinstance(sketch, str) else sketch
+    return F.when(F.kll_sketch_get_n_double(of) > 0, F.kll_sketch_get_quantile_double(of, F.lit(q)))
+
+
+def hourly(samples: DataFrame, exact: bool = False) -> DataFrame:
+    """Percentiles by hour, agent and model, from sketches of bounded size; with ``exact`` all values are kept instead."""
+    wanted = [("total_ms", 0.5), ("total_ms", 0.95), ("total_ms", 0.99), ("upstream_ms", 0.5), ("overhead_pct", 0.5), *((c, 0.5) for c in TIMED[3:] if c in samples.columns)]
+    if not exact:
+        return sketches(samples).select("hour", "agent_id", "model", "sample_count", *(quantile(f"{c}_sketch", q).alias(f"{c}_p{q * 100:.0f}") for c, q in wanted))
+    rows = samples.withColumn("overhead_pct", _share())
+    return rows.groupBy(F.date_trunc("hour", "ts").alias("hour"), "agent_id", "model").agg(F.count("*").alias("sample_count"), *(F.percentile(c, q).alias(f"{c}_p{q * 100:.0f}") for c, q in wanted))
 
 
 def health(audit: DataFrame) -> DataFrame:

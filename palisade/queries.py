@@ -384,10 +384,24 @@ def _(spark, d):
     return a.join(b, "conv_id").select("conv_id", "turn", pol.final_action(F.col("decided"), F.col("r")).alias("final"))
 
 
-@query("forwarded_body", f"WITH {REQS}, {CTX}, x AS ({_decision_sql(_ALL)}) SELECT conv_id, CASE WHEN decided = 'block' THEN NULL WHEN decided IN ('transform', 'hold') THEN 'redacted' ELSE 'original' END AS body, CAST(CASE WHEN decided = 'block' THEN 400 ELSE 200 END AS INT) AS status FROM x")
+_BODY = """'{"model":"' || model || '","prompt":"' || regexp_replace(t, '["\\\\\\n\\r\\t]', ' ', 'g') || '"}'"""
+_ERRORS = ("", "timeout", "unreachable", "kill_switch", "rate_limit", "no_api_key", "other")
+
+
+@query(
+    "forwarded_body",
+    f"""WITH {REQS}, {CTX}, x AS ({_decision_sql(_ALL)}), o AS (SELECT reqs.conv_id, x.decided, {_BODY} AS t FROM reqs JOIN x USING (conv_id) JOIN ctx USING (conv_id)), {', '.join(redact_steps('o', 'conv_id, decided'))}
+    SELECT conv_id, CASE WHEN decided = 'block' THEN NULL WHEN decided IN ('transform', 'hold') THEN md5(r) ELSE md5(t) END AS body_md5,
+      CAST(CASE WHEN decided = 'block' THEN 400 ELSE [200, 504, 502, 503, 429, 400, 500][CAST(conv_id % 7 AS INT) + 1] END AS INT) AS status FROM {REDACTED}""",
+)
 def _(spark, d):
-    x = _decided(spark, d).select("conv_id", F.col("decision.action").alias("a"))
-    return x.select("conv_id", pol.forwarded_body(F.col("a"), F.lit("original"), F.lit("redacted")).alias("body"), pol.client_status(F.col("a"), F.lit(200), F.lit(None).cast("string")).alias("status"))
+    """What goes upstream of real bodies, and the status of the answer in every state."""
+    body = F.concat(F.lit('{"model":"'), pick(_MODELS, F.col("conv_id")), F.lit('","prompt":"'), F.regexp_replace("t", r'["\\\n\r\t]', " "), F.lit('"}'))
+    bodies = pii.scan_and_redact(requests(spark, d).select("conv_id", body.alias("b")), "b", "request")
+    x = _decided(spark, d).select("conv_id", F.col("decision.action").alias("a")).join(bodies, "conv_id")
+    error = F.nullif(pick(_ERRORS, F.col("conv_id")), F.lit(""))
+    sent = pol.forwarded_body(F.col("a"), F.col("b"), F.col("redacted_text"))
+    return x.select("conv_id", F.md5(sent.cast("binary")).alias("body_md5"), pol.client_status(F.col("a"), F.lit(200), error).alias("status"))
 
 
 @query("audit_compact", f"WITH {REQS}, {CTX}, m AS ({_matched_sql}), x AS ({_decision_sql(_ALL)}), g AS (SELECT conv_id, {', '.join(f"string_agg(rule_id, ',' ORDER BY {'CASE rule_id ' + ' '.join(f'WHEN {q(p.rule_id)} THEN {p.order}' for p in _ALL) + ' END'}) FILTER (rule_action = '{a}') AS {a}_ids" for a in ('block', 'flag'))} FROM m GROUP BY conv_id) SELECT conv_id, concat_ws(' ', '[' || upper(decided) || ']', 'POST', '/v1/chat/completions', 'model=' || model, 'block=' || block_ids, 'flag=' || flag_ids, CASE WHEN g.conv_id IS NULL THEN 'rule=' || rule_id END, CASE WHEN len(pii_findings) > 0 THEN 'matched=' || array_to_string(pii_findings, ',') END, 'latency=1.5ms') AS line FROM ctx JOIN x USING (conv_id) LEFT JOIN g USING (conv_id)")
@@ -603,6 +617,18 @@ def _(spark, d):
     return r.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "scope", "scope_id", "n")
 
 
+@query(
+    "rate_admission",
+    f"""WITH {USE}, t AS (SELECT event_id, tenant_id, ts, date_trunc('minute', ts) AS m, row_number() OVER (PARTITION BY date_trunc('minute', ts), tenant_id ORDER BY ts, event_id) AS place FROM use),
+    g AS (SELECT *, sum(CASE WHEN place <= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY ts, event_id) AS taken FROM t)
+    SELECT event_id, taken <= 2 AND place <= 1 AS admitted, CASE WHEN taken - CASE WHEN place <= 1 THEN 1 ELSE 0 END >= 2 THEN 'global' WHEN place > 1 THEN 'tenant' END AS refused_by FROM g""",
+)
+def _(spark, d):
+    limits = spark.createDataFrame([("global", "*", 2), *(("tenant", str(t), 1) for t in range(7))], "scope string, scope_id string, per_minute int")
+    requests = _usages(spark, d).withColumn("request_id", F.col("event_id"))
+    return economics.admit(requests, limits).select("event_id", "admitted", "refused_by")
+
+
 _BUDGETS = [("api_key", "11", 1.0, 0.25), ("api_key", "12", 0.0, 0.5), ("tenant", "1", 0.5, 0.125), ("tenant", "2", 1.0, 2.0), ("agent", "a3", 4.0, 1.0)]
 
 
@@ -693,7 +719,24 @@ def _(spark, d):
 @query("latency_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type AS model, count(*) AS sample_count, round(quantile_cont(value, 0.5), 6) AS total_ms_p50, round(quantile_cont(value, 0.95), 6) AS total_ms_p95, round(quantile_cont(value, 0.99), 6) AS total_ms_p99, round(quantile_cont(value * 0.8, 0.5), 6) AS upstream_ms_p50 FROM events GROUP BY ALL")
 def _(spark, d):
     s = table(spark, d, "events").select("ts", F.lit("a").alias("agent_id"), F.col("event_type").alias("model"), F.col("value").alias("total_ms"), (F.col("value") * 0.8).alias("upstream_ms"))
-    return rollups.hourly(s).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "model", "sample_count", *(F.round(c, 6).alias(c) for c in ("total_ms_p50", "total_ms_p95", "total_ms_p99", "upstream_ms_p50")))
+    return rollups.hourly(s, exact=True).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "model", "sample_count", *(F.round(c, 6).alias(c) for c in ("total_ms_p50", "total_ms_p95", "total_ms_p99", "upstream_ms_p50")))
+
+
+@query("latency_daily", "WITH d AS (SELECT date_trunc('day', ts) AS day, event_type AS model, count(*) AS sample_count FROM events GROUP BY ALL) SELECT strftime(day, '%Y-%m-%d') AS day, model, sample_count, true AS p50_near, true AS p95_near, true AS p99_near FROM d")
+def _(spark, d):
+    """Percentiles of days from the sketches of hours, held against the ranks of all values: at most 2 % of the rows off."""
+    s = table(spark, d, "events").select("ts", F.lit("a").alias("agent_id"), F.col("event_type").alias("model"), F.col("value").alias("total_ms"), (F.col("value") * 0.8).alias("upstream_ms"))
+    days = rollups.merged(rollups.sketches(s))
+    qs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = days.select("day", "model", "sample_count", *(rollups.quantile("total_ms_sketch", q).alias(n) for n, q in qs.items()))
+    values = s.select(F.date_trunc("day", "ts").alias("day"), "model", "total_ms").join(found, ["day", "model"])
+    ranks = values.groupBy("day", "model", "sample_count").agg(*(f(n) for n in qs for f in (lambda n: F.count_if(F.col("total_ms") < F.col(n)).alias(f"{n}_below"), lambda n: F.count_if(F.col("total_ms") <= F.col(n)).alias(f"{n}_upto"))))
+
+    def near(n: str, q: float) -> Column:
+        off = F.greatest(F.lit(1.0), F.col("sample_count") * 0.02)
+        return ((F.col(f"{n}_below") - q * F.col("sample_count") <= off) & (q * F.col("sample_count") - F.col(f"{n}_upto") <= off)).alias(f"{n}_near")
+
+    return ranks.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "model", "sample_count", *(near(n, q) for n, q in qs.items()))
 
 
 @query("phase_overhead", "SELECT event_id, round(value * 0.5 + CASE WHEN event_id % 2 = 0 THEN value * 0.25 ELSE 0 END, 6) AS overhead_ms FROM events")

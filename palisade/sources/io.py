@@ -16,8 +16,10 @@ _VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 
 def read_requests(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Request rows of a JSON folder with a column body; bodies over 10 MiB are left out."""
-    return spark.read.schema(schema).json(path).where(F.octet_length("body") <= MAX_BODY_BYTES)
+    """Request rows of a JSON folder with a column body.  A body over 10 MiB is not kept: its row has status 400, others none."""
+    over = F.octet_length("body") > MAX_BODY_BYTES
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumns({"status": F.when(over, 400), "body": F.when(~over, F.col("body"))})
 
 
 def expand(text: str, env: Mapping[str, str] | None = None) -> str:

@@ -175,3 +175,47 @@ def test_jsonl_and_retention(spark, tmp_path):
 def test_secret_values(spark):
     df = spark.createDataFrame([("a", "openai", "sk-x"), ("b", "openai", "key"), ("c", "x", "${NO}"), ("d", "x", " a"), ("e", "x", "")], "name string, provider string, value string")
     assert {r.name: r.problem for r in io.check_secrets(df).collect()} == {"b": "prefix", "c": "unresolved", "d": "whitespace", "e": "empty"}
+
+
+def test_admission_under_several_limits(spark):
+    """Against one request after another."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, ts(f"2024-01-01 00:0{rnd.randint(0, 3)}:{rnd.randint(0, 59):02d}"), rnd.choice(["t1", "t2", "default"]), rnd.choice("abc"), "x", rnd.choice(["m1", "m2"])) for i in range(400)]
+    limits = {("global", "*"): 45, ("tenant", "t1"): 25, ("api_key", "a"): 9, ("api_key", "b"): 1000, ("model", "m2"): 20}
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, tenant_id string, api_key string, agent_id string, model string").repartition(3)
+    got = {r.request_id: r.refused_by for r in economics.admit(df, spark.createDataFrame([(*k, n) for k, n in limits.items()], "scope string, scope_id string, per_minute int")).collect()}
+    counts, want = {}, {}
+    for i, at, tenant, key, _, model in sorted(rows, key=lambda r: (r[1], r[0])):
+        mine = [(s, k) for s, k in (("global", "*"), ("tenant", tenant), ("api_key", key), ("model", model)) if (s, k) in limits]
+        full = next((s for s, k in mine if counts.get((at.minute, s, k), 0) >= limits[s, k]), None)
+        for s, k in mine if full is None else []:
+            counts[at.minute, s, k] = counts.get((at.minute, s, k), 0) + 1
+        want[i] = full
+    assert got == want and {"global", "tenant", "api_key", "model", None} == set(want.values())
+
+
+def test_sketches_merge(spark):
+    rows = spark.range(20_000).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"), F.lit("a").alias("agent_id"), F.lit("m").alias("model"), (F.col("id") % 1000).cast("double").alias("total_ms"), F.lit(None).cast("double").alias("upstream_ms"))
+    days = rollups.merged(rollups.sketches(rows)).orderBy("day")
+    for r in days.select("sample_count", rollups.quantile("total_ms_sketch", 0.95).alias("p"), rollups.quantile("upstream_ms_sketch", 0.5).alias("none")).collect():
+        assert abs(r.p - 950) < 20 and r.none is None and r.sample_count > 0
+    assert days.agg(F.sum("sample_count")).first()[0] == 20_000
+    assert abs(rollups.hourly(rows).agg(F.avg("total_ms_p50")).first()[0] - rollups.hourly(rows, exact=True).agg(F.avg("total_ms_p50")).first()[0]) < 25
+
+
+def test_stream_audit_rows(spark):
+    finding = "array<struct<pattern:string,redacted_to:string,count:int,location:string>>"
+    a = spark.createDataFrame([("1", [("email", "[E]", 1, "request")], ("allow", "r"), '{"model":"m","pii_detected":false}'), ("2", [], ("flag", None), '{"pii_detected":false}')], f"request_id string, findings {finding}, enforcement struct<action:string,rule_id:string>, context_snapshot string")
+    t = spark.createDataFrame([(1, 5, 4, 3, 2, 1, 0, "flag", [("ssn", "[S]", 1, "streaming_response"), ("rule", "", 1, "streaming_response_policy")], 10, 20)], f"stream_id long, bytes_received long, bytes_emitted long, frames_emitted long, flushes_boundary long, flushes_cap long, flushes_end long, verdict string, findings {finding}, first_byte_ms long, stream_duration_ms long")
+    got = {r.request_id: r for r in audit.stream_audit(a, t).collect()}
+    assert [f.pattern for f in got["1"].findings] == ["email", "ssn"] and got["1"].enforcement.streaming_action == "flag" and '"pii_detected":true' in got["1"].context_snapshot
+    assert [f.pattern for f in got["1"].streaming.findings] == ["ssn", "rule"] and got["1"].streaming.buffer_flushes.on_boundary == 2 and got["1"].streaming.latency.first_byte_ms == 10
+    assert got["2"].streaming is None and got["2"].findings == [] and got["2"].enforcement.observed and "false" in got["2"].context_snapshot
+
+
+def test_large_bodies_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "MAX_BODY_BYTES", 5)
+    (tmp_path / "r.json").write_text('{"body":"12345"}\n{"body":"123456"}\n{"body":null}\n')
+    assert sorted(((r.body, r.status) for r in io.read_requests(spark, str(tmp_path), "body string").collect()), key=str) == [("12345", None), (None, 400), (None, None)]

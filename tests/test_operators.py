@@ -183,7 +183,7 @@ def test_admission_under_several_limits(spark):
 
     rnd = random.Random(2)
     rows = [(i, ts(f"2024-01-01 00:0{rnd.randint(0, 3)}:{rnd.randint(0, 59):02d}"), rnd.choice(["t1", "t2", "default"]), rnd.choice("abc"), "x", rnd.choice(["m1", "m2"])) for i in range(400)]
-    limits = {("global", "*"): 45, ("tenant", "t1"): 25, ("api_key", "a"): 9, ("api_key", "b"): 1000, ("model", "m2"): 20}
+    limits = {("global", "*"): 45, ("tenant", "t1"): 12, ("api_key", "a"): 9, ("api_key", "b"): 1000, ("model", "m2"): 20}
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, tenant_id string, api_key string, agent_id string, model string").repartition(3)
     got = {r.request_id: r.refused_by for r in economics.admit(df, spark.createDataFrame([(*k, n) for k, n in limits.items()], "scope string, scope_id string, per_minute int")).collect()}
     counts, want = {}, {}

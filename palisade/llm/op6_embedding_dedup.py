@@ -7,9 +7,14 @@ what is left by exact cosine in double precision.
 
 * The tables' distance is off by the residual's quantisation error at most, and
   that error is stored with the codes, so pruning by it loses no link.
-* Probes: a partner at the threshold moves a query's similarity to a centroid by
-  noise of known size; lists within ``PROBE_SIGMA`` of it are searched.  Every
-  vector is indexed and every vector is a query.
+* Probes: a partner at the threshold is the query turned by a known angle towards
+  some direction.  It can live in another list only if that direction leads far
+  enough from the query's nearest centroid to the other list's.  How far
+  directions lead is taken from the sample's second moments, of the vectors and
+  of their residuals, so data of low rank are probed as widely as they need; a
+  list is searched if ``PROBE_SIGMA`` deviations reach it, and never beyond what
+  any direction can.  ``exact=True`` takes that bound alone and loses no link.
+  Every vector is indexed and every vector is a query.
 * The centroids and codebooks are fitted on at most ``FIT_ROWS`` vectors; they
   are all that is broadcast.
 
@@ -19,7 +24,8 @@ a spanning forest of the links it found, never the pairs themselves.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows with null labels, link with nothing.  Vectors of different lengths are
-never compared.
+never compared.  Repeated rows and ids are vectors of their own, an empty table
+gives none, and other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -35,11 +41,12 @@ from palisade.llm._spark import cut, parts, prepare, table
 COSINE = 0.93
 FIT_ROWS = 20_000
 BLOCK = 2048
-PROBE_SIGMA = 2.5
+PROBE_SIGMA = 1.75
 SUBSPACES = 8
 CODEWORDS = 64
 #: Points of the largest label for each coarse list.
 PER_LIST = 96
+#: As many lists as a sample of FIT_ROWS can place; beyond it lists grow, and are split into blocks, but nothing is left out.
 MOST_LISTS = 4096
 
 
@@ -63,17 +70,32 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
+def _deviations(x: np.ndarray) -> np.ndarray:
+    """A root of the second moments of directions: those of the rows, scaled to unit length on the whole."""
+    moments = x.T @ x
+    total = np.trace(moments)
+    values, vectors = np.linalg.eigh(moments / total if total > 0 else np.eye(x.shape[1]) / x.shape[1])
+    return vectors * np.sqrt(np.maximum(values, 0))
+
+
+def _apart(points: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Distances of some of the points from all."""
+    size = (points * points).sum(axis=1)
+    return np.sqrt(np.maximum(size[which, None] + size - 2 * points[which] @ points.T, 0))
+
+
 class Quantizer:
     """Coarse unit centroids and one codebook for each subspace of the residuals."""
 
-    def __init__(self, sample: np.ndarray, lists: int, cosine: float):
-        self.cosine = cosine
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float, exact: bool = False):
+        self.cosine, self.exact = cosine, exact
         self.coarse = _kmeans(sample, lists, 4, True)
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         d = sample.shape[1]
         self.cuts = np.linspace(0, d, min(SUBSPACES, d) + 1).astype(int)
         self.books = [_kmeans(rest[:, a:b], CODEWORDS, 4, False) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        self.margin = PROBE_SIGMA * np.sqrt(2 * (1 - cosine**2) / d)
+        # Centroids in coordinates in which a distance is how far a direction of the data leads, one deviation.
+        self.spreads = [] if exact else [self.coarse @ _deviations(m) for m in (sample, rest)]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(home list, codes, quantisation error) of unit vectors."""
@@ -84,8 +106,15 @@ class Quantizer:
         return home, codes, np.linalg.norm(rest - near, axis=1)
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lists in which partners of each vector can live."""
         s = x @ self.coarse.T
-        return [np.flatnonzero(r >= r.max() - self.margin) for r in s]
+        home = s.argmax(axis=1)
+        homes, at = np.unique(home, return_inverse=True)
+        reach = _apart(self.coarse, homes)
+        if not self.exact:
+            reach = np.minimum(reach, PROBE_SIGMA * np.maximum.reduce([_apart(p, homes) for p in self.spreads]))
+        margin = np.sqrt(1 - self.cosine**2) / self.cosine * reach + 1e-9
+        return [np.flatnonzero(r >= r[h] - margin[i]) for r, h, i in zip(s, home, at, strict=True)]
 
     def _parts(self):
         return zip(self.cuts, self.cuts[1:], self.books, strict=False)
@@ -218,13 +247,13 @@ def _search(model):
     return run
 
 
-def _one_length(points: DataFrame, cosine: float, fit_rows: int) -> DataFrame:
+def _one_length(points: DataFrame, cosine: float, fit_rows: int, exact: bool) -> DataFrame:
     """(node, links, hub) of the links among points of one length."""
     spark = points.sparkSession
     largest = points.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     lists = int(min(MOST_LISTS, max(1, largest // PER_LIST)))
     sample = points.select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toArrow()["embedding"].combine_chunks()
-    model = spark.sparkContext.broadcast(Quantizer(_unit(sample), lists, cosine))
+    model = spark.sparkContext.broadcast(Quantizer(_unit(sample), lists, cosine, exact))
     entries = cut(points.select("node", "label", "copies", "embedding").mapInArrow(_index(model), _ENTRY), "lists")
     sizes = entries.groupBy("list", "label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
@@ -237,7 +266,7 @@ def _one_length(points: DataFrame, cosine: float, fit_rows: int) -> DataFrame:
     return ready.mapInArrow(_search(model), "node long, links long, hub long")
 
 
-def link_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT_ROWS) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT_ROWS, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
     spark = prepare(vectors.sparkSession)
     source = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>"))
@@ -246,7 +275,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
     points = cut(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")), "points")
     found = None
     for (size,) in points.select(F.size("embedding")).distinct().collect():
-        part = _one_length(points.where(F.size("embedding") == size), cosine, fit_rows)
+        part = _one_length(points.where(F.size("embedding") == size), cosine, fit_rows, exact)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "node long, links long, hub long")

@@ -41,6 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {MOST_STEPS} steps")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "labels")
     discard(e)

@@ -7,6 +7,8 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def plain_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let a function of documents work under plain column names, whatever theirs are; its rows carry theirs again.
+
+    Columns that the function adds give way to those that the documents have.
+    """
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        plain = {c if c in ("doc_id", "text", "n_chars") else f"column_{i}": c for i, c in enumerate(docs.columns)}
+        out = stage(docs.toDF(*plain), *args, **options)
+        added = dict(zip([c for c in out.columns if c not in plain], fresh(docs, *(c for c in out.columns if c not in plain)), strict=True))
+        return out.toDF(*(plain.get(c) or added[c] for c in out.columns))
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import prepare, table
+from palisade.llm._spark import plain_names, prepare, table
 from palisade.llm._text import buffers, chunks
 
 FIT_ROWS = 20_000
@@ -285,6 +285,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     return _scored(docs, labels, threshold)
 
 
+@plain_names
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows scored below the threshold, unchanged."""
     spark = prepare(docs.sparkSession)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import prepare, table
+from palisade.llm._spark import plain_names, prepare, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "phone_local", "ssn", "iban", "email_written")
@@ -300,6 +300,7 @@ def find(docs: DataFrame, model: Aggregator | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_finder(sent), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+@plain_names
 def redact(docs: DataFrame, model: Aggregator | None = None, mark: str = "[PII]") -> DataFrame:
     """The documents with all found spans replaced."""
     spark = prepare(docs.sparkSession)

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import fresh, prepare, shared_path, table
+from palisade.llm._spark import fresh, plain_names, prepare, shared_path, table
 
 
 @dataclass(frozen=True)
@@ -155,6 +155,7 @@ def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return findings(docs, ledger).select("doc_id", *counts, F.sha2(_joined(base, RULES), 256).alias("base_sha256"), _joined(F.col("spans"), RULES).alias("spans"))
 
 
+@plain_names
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
     """The documents with every found span replaced; n_chars follows where there is such a column."""
     blob, spans, key, new = fresh(docs, "blob", "spans", "key", "new")

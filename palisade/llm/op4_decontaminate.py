@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import cut, discard, fresh, prepare, table
+from palisade.llm._spark import cut, discard, fresh, plain_names, prepare, table
 from palisade.llm._text import ALNUM
 
 WINDOW = 13
@@ -322,6 +322,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = WINDOW, m
     return _passes(docs, benchmark, window, block_words, _schema(docs), finish)
 
 
+@plain_names
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, unchanged; every row is judged by its own text."""
 

@@ -32,7 +32,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import prepare, table
+from palisade.llm._spark import plain_names, prepare, table
 
 MODEL = "piece_bpe_32k.model"
 #: Longer units are streamed and not remembered.
@@ -207,14 +207,12 @@ class Pieces:
         return "".join(out).replace(_MARK, " ").removeprefix(" ")
 
 
+@plain_names
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """The rows with token_ids (array of int) and n_tokens after their columns; ``text`` is decoded from the ids."""
     prepare(docs.sparkSession)
     path = model_path or public_tokenizers.path(MODEL)
     at = docs.columns.index("text")
-    own = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
-    kept = docs.select(*own)
-    at = kept.columns.index("text")
 
     def run(batches):
         pieces = Pieces.of(path)
@@ -227,8 +225,8 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             cols = [text if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*cols, tokens, pa.array(sizes)], names=[*batch.schema.names, "token_ids", "n_tokens"])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
-    return kept.mapInArrow(run, f"{types}, token_ids array<int>, n_tokens long")
+    types = ", ".join(f"{c} {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{types}, token_ids array<int>, n_tokens long")
 
 
 def report(docs: DataFrame, model_path: str | None = None) -> DataFrame:

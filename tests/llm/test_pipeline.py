@@ -10,7 +10,7 @@ from palisade.llm import op1_toxicity, op3_secrets, op4_decontaminate, op5_jacca
 
 def test_registry():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages(spark, data, tmp_path):

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs.  All but the last return the
-columns of documents.
+columns of documents, whatever they are called.  Null and empty texts, repeated
+rows and ids, and empty tables pass through every stage as its docstring says.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import op1_toxicity, op3_secrets, op4_decontaminate, op5_jaccard_join, op8_sentencepiece
-from palisade.llm._spark import cut, table
+from palisade.llm._spark import cut, discard, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if held is not None:  # nothing reads a stage's input once its rows are written
+            discard(held)
+        held = docs
     _, last = STAGES[-1]
     return last(spark, docs, sf_dir)

@@ -619,13 +619,15 @@ def _(spark, d):
 
 @query(
     "rate_admission",
-    f"""WITH {USE}, t AS (SELECT event_id, tenant_id, ts, date_trunc('minute', ts) AS m, row_number() OVER (PARTITION BY date_trunc('minute', ts), tenant_id ORDER BY ts, event_id) AS place FROM use),
+    f"""WITH {USE}, b AS (SELECT event_id, tenant_id, date_trunc('hour', ts) AS m, event_id % 60 AS ts FROM use), t AS (SELECT *, row_number() OVER (PARTITION BY m, tenant_id ORDER BY ts, event_id) AS place FROM b),
     g AS (SELECT *, sum(CASE WHEN place <= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY ts, event_id) AS taken FROM t)
     SELECT event_id, taken <= 2 AND place <= 1 AS admitted, CASE WHEN taken - CASE WHEN place <= 1 THEN 1 ELSE 0 END >= 2 THEN 'global' WHEN place > 1 THEN 'tenant' END AS refused_by FROM g""",
 )
 def _(spark, d):
     limits = spark.createDataFrame([("global", "*", 2), *(("tenant", str(t), 1) for t in range(7))], "scope string, scope_id string, per_minute int")
-    requests = _usages(spark, d).withColumn("request_id", F.col("event_id"))
+    # An hour's requests come in one minute, so that limits are met.
+    burst = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("hour", "ts")) + F.col("event_id") % 60)
+    requests = _usages(spark, d).withColumns({"request_id": F.col("event_id"), "ts": burst})
     return economics.admit(requests, limits).select("event_id", "admitted", "refused_by")
 
 
@@ -953,3 +955,7 @@ def _(spark, d):
     body = F.to_json(F.struct(F.lit("old").alias("model"), F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("messages")))
     c = table(spark, d, "conversations").select("conv_id", "turn", text.rewrite_model(body, F.concat(F.lit('m"'), F.col("conv_id").cast("string"))).alias("b"))
     return c.select("conv_id", "turn", text.model_of(F.col("b")).alias("model"), F.md5(F.get_json_object("b", "$.messages[0].content").cast("binary")).alias("text_md5"))
+
+
+# The rest of the catalog registers itself.
+from palisade import audit_queries  # noqa: E402, F401

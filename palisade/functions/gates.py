@@ -62,7 +62,10 @@ def _telling(s: str) -> bool:
 @cache
 def literals(regex: str) -> tuple[tuple[str, ...], ...]:
     """Sets of which every match has a member in its lower-cased text; none: no gate."""
-    sets = [s for s in dict.fromkeys(_runs(re._parser.parse(regex))) if len(s) <= MOST and all(map(_telling, s))]
+    parser = getattr(re, "_parser", None)
+    if parser is None:  # no parser to be had: no gates, and the same results
+        return ()
+    sets = [s for s in dict.fromkeys(_runs(parser.parse(regex))) if len(s) <= MOST and all(map(_telling, s))]
     # What another set's members hold anyway tells nothing more.
     sets = [s for s in sets if not any(s != t and all(any(x in y for x in s) for y in t) for t in sets)]
     sets.sort(key=lambda s: (len(s), -min(map(len, s)), sorted(s)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.plans import policy as pol
+from palisade.plans import tenants
 from palisade.sources import io
 
 
@@ -43,6 +44,60 @@ class Policies:
         return self.last
 
 
+class TenantPolicies:
+    """The policies of a folder, and of a folder in it for each tenant, which is judged by both.
+
+    All texts are read in one job; those that changed are parsed, and a tenant
+    whose text does not compile keeps its last good ones, while others go on.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.last: dict[str, Snapshot] = {}
+        self.errors: dict[str, str] = {}
+        self.compiled: tenants.Compiled | None = None
+
+    def _texts(self) -> dict[str, str]:
+        """Each tenant's own text, the folder's own under an empty name."""
+        files = self.spark.read.option("pathGlobFilter", "*.cedar").option("recursiveFileLookup", "true").text(self.folder, wholetext=True).withColumn("path", F.input_file_name())
+        # Policies are configuration: small texts that the driver compiles.
+        inside = F.substring_index("path", f"/{self.folder.split('/')[-1]}/", -1)
+        out: dict[str, str] = {"": ""}
+        for r in files.select(inside.alias("inside"), "value").orderBy("inside").collect():
+            tenant = r["inside"].split("/")[0] if "/" in r["inside"] else ""
+            out[tenant] = out.get(tenant, "") + r["value"] + "\n"
+        return out
+
+    def refresh(self) -> dict[str, Snapshot]:
+        found = self._texts()
+        changed = self.compiled is None or bool(self.last.keys() - found.keys())
+        for tenant, own in found.items():
+            text = found[""] + own if tenant else own
+            version = hashlib.sha256(text.encode()).hexdigest()[:16]
+            if tenant in self.last and self.last[tenant].version == version:
+                continue
+            try:
+                policies = pol.parse(text)
+                pol.validate(policies)
+                self.last[tenant], changed = Snapshot(version, tuple(policies)), True
+                self.errors.pop(tenant, None)
+            except pol.PolicyError as e:
+                self.errors[tenant] = str(e)
+                self.last.setdefault(tenant, self.last.get("", Snapshot("none", ())))
+        for gone in self.last.keys() - found.keys():
+            del self.last[gone]
+        if changed:
+            self.compiled = tenants.Compiled({(t, ""): list(x.policies) for t, x in self.last.items()})
+        return self.last
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (tenant_id and any facts) with decision and policy_version, by what was read last."""
+        versions = self.spark.createDataFrame([(t, x.version) for t, x in self.last.items()], "_t string, _v string")
+        named = tenants.evaluate(self.compiled, rows.withColumn("policy_version", F.lit(""))).drop("policy_version")
+        joined = named.join(versions, F.col("tenant_id") == F.col("_t"), "left")
+        return joined.withColumn("policy_version", F.coalesce("_v", F.lit(self.last[""].version))).drop("_t", "_v")
+
+
 def write_once(rows: DataFrame, batch_id: int, path: str, form: str = "json") -> bool:
     """Write a micro-batch to a folder of its own, unless it is there already; says whether it wrote.
 
@@ -71,10 +126,11 @@ def written(spark: SparkSession, path: str, schema: str, form: str = "json") ->
     return spark.read.schema(f"{schema}, batch long").option("basePath", path).format(form).load(folders)
 
 
-def audit_stream(facts: DataFrame, policies: Policies, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None, on_error: str = "allow", **trigger) -> StreamingQuery:
+def audit_stream(facts: DataFrame, policies: Policies | TenantPolicies, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None, on_error: str = "allow", **trigger) -> StreamingQuery:
     """Decide on streaming facts and log each row once, with the version of the policies that decided.
 
-    Policies are read at the start of every micro-batch.  ``shape`` makes log rows
+    Policies are read at the start of every micro-batch; those of tenants decide by
+    the facts' tenant_id.  ``shape`` makes log rows
     of decided ones; without it they are the given columns, action, rule_id and
     policy_version.
     """
@@ -86,7 +142,10 @@ def audit_stream(facts: DataFrame, policies: Policies, path: str, checkpoint: st
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = policies.refresh()
-        decided = pol.evaluate(list(now.policies), batch, on_error).withColumn("policy_version", F.lit(now.version))
+        if isinstance(policies, TenantPolicies):
+            decided = policies.decide(batch)
+        else:
+            decided = pol.evaluate(list(now.policies), batch, on_error).withColumn("policy_version", F.lit(now.version))
         write_once((shape or plain)(decided), batch_id, path)
 
     return facts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

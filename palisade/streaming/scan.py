@@ -10,6 +10,9 @@ from palisade.plans import policy as pol
 from palisade.streaming import frames as fr
 
 STOPS = ("block", "hold")
+# Where findings of streams were made, and names for rules that have none, as they stand in audit rows.
+TEXT, TEXT_POLICY, ARGUMENTS, TOOLS = "streaming_response", "streaming_response_policy", "streaming_tool_args", "streaming_response_tool_calls"
+UNNAMED, UNNAMED_TOOLS = "streaming_policy", "streaming_tool_policy"
 #: Said in place of a held answer where the rule says nothing.
 _HELD = "This answer is held for review."
 #: In place of a rule's id where it has none.
@@ -31,7 +34,7 @@ def decide(rows: DataFrame, policies: str | list[pol.Policy], provider: str = "o
     at the end is scanned but not decided on.  A null text is empty.
     """
     own = rows.columns
-    scanned = pii.scan_and_redact(rows.withColumn("text", F.coalesce("text", F.lit(""))), "text", "streaming_response", findings="findings", redacted="_scanned")
+    scanned = pii.scan_and_redact(rows.withColumn("text", F.coalesce("text", F.lit(""))), "text", TEXT, findings="findings", redacted="_scanned")
     facts = scanned.drop("pii_findings", "action").withColumns({"action": F.lit("llm.response"), "streaming": F.lit(True), "pii_detected": F.size("findings") > 0})
     d = F.col("decision")
     asked = F.col("reason") != "end" if "reason" in own else F.lit(True)
@@ -43,7 +46,7 @@ def decide(rows: DataFrame, policies: str | list[pol.Policy], provider: str = "o
         .when(verdict == "block", fr.encode_error(provider, F.coalesce("rule_id", F.lit(_BLOCKED))))
         .otherwise(fr.encode_text(provider, changed))
     )
-    flagged = F.when(verdict == "flag", F.concat("findings", _one(F.coalesce("rule_id", F.lit("streaming_policy")), F.lit(1), "streaming_response_policy"))).otherwise(F.col("findings"))
+    flagged = F.when(verdict == "flag", F.concat("findings", _one(F.coalesce("rule_id", F.lit(UNNAMED)), F.lit(1), TEXT_POLICY))).otherwise(F.col("findings"))
     return decided.withColumns({"stops": verdict.isin(*STOPS), "output": output, "findings": flagged}).select(*own, "findings", "verdict", "rule_id", "stops", "output")
 
 
@@ -78,13 +81,13 @@ def observe(frames: DataFrame, keys: list[str]) -> DataFrame:
     gathered by stream, not its text.
     """
     text = F.when(~F.col("is_done") & ~F.col("is_error"), fr.text_delta(F.col("data")))
-    found = frames.select(*keys, "seq", "is_done", F.coalesce(pii.scan_only(text, "streaming_response"), F.array().cast(f"array<{pii.FINDING}>")).alias("f"))
+    found = frames.select(*keys, "seq", "is_done", F.coalesce(pii.scan_only(text, TEXT), F.array().cast(f"array<{pii.FINDING}>")).alias("f"))
     hits = F.collect_list(F.when(F.size("f") > 0, F.struct("seq", "f")))
     per = found.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(hits), lambda x: x["f"])).alias("_text"), F.bool_or("is_done").alias("done"))
     args = fr.tool_arguments(frames, keys).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "arguments"))), lambda x: x["arguments"]), " ").alias("_args"))
     out = per.join(args, keys, "left").join(fr.distinct_tools(frames, keys), keys, "left")
     none = F.array().cast(f"array<{pii.FINDING}>")
-    late = F.when(F.col("done"), pii.scan_only(F.coalesce("_args", F.lit("")), "streaming_tool_args")).otherwise(none)
+    late = F.when(F.col("done"), pii.scan_only(F.coalesce("_args", F.lit("")), ARGUMENTS)).otherwise(none)
     out = out.withColumn("findings", F.concat("_text", late)).withColumn("tools", F.coalesce("tools", F.array().cast("array<string>")))
     return out.select(*keys, "findings", "tools", "done", F.when(F.size("findings") > 0, "flag").otherwise("allow").alias("verdict"))
 
@@ -109,6 +112,6 @@ def tools_at_end(streams: DataFrame, policies: str | list[pol.Policy]) -> DataFr
         }
     )
     acted = here & F.col("decision.action").isin("flag", "block")
-    finding = _one(F.coalesce("decision.rule_id", F.lit("streaming_tool_policy")), F.size("tools"), "streaming_response_tool_calls")
+    finding = _one(F.coalesce("decision.rule_id", F.lit(UNNAMED_TOOLS)), F.size("tools"), TOOLS)
     out = pol.evaluate(policies, facts).withColumns({"verdict": F.when(acted, F.col("decision.action")).otherwise(F.col("verdict")), "findings": F.when(acted, F.concat("findings", finding)).otherwise(F.col("findings"))})
     return out.select(*own)

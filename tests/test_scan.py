@@ -23,7 +23,7 @@ def flushed(spark, rows, rules=RULES):
 
 
 def content(sse):
-    return json.loads(sse.removeprefix("data: "))["choices"][0]["delta"]["content"]
+    return json.loads(sse.split("\n\n")[0].removeprefix("data: "))["choices"][0]["delta"]["content"]
 
 
 def test_enforced_flushes(spark):

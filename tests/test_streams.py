@@ -174,3 +174,35 @@ def test_enrichment_joins_streams(spark, tmp_path):
     run(audit_log.enriched_stream(a, e), "enriched", tmp_path)
     got = {r.audit_id: r.detector_snapshot for r in spark.table("enriched").collect()}
     assert got["in"] == "s" and got["late"] is None and got["none"] is None and "x2" not in got
+
+
+def test_tenants_policies_are_read_for_each_batch(spark, tmp_path):
+    """A tenant's broken text leaves its last good one in force, and others go on."""
+    folder = tmp_path / "rules"
+    for t in ("a", "b"):
+        (folder / t).mkdir(parents=True)
+    base = 'permit(principal, action, resource);\n@id("base") @enforcement("flag") forbid(principal, action, resource) when { context.model == "odd" };'
+    own = '@id("{0}") forbid(principal, action, resource) when {{ context.tool_count > {1} }};'
+    (folder / "base.cedar").write_text(base)
+    policies = audit_log.TenantPolicies(spark, str(folder))
+    schema = "n long, tenant_id string, model string, tool_count long"
+    seen = 0
+
+    def step(i):
+        nonlocal seen
+        rows = [{"n": seen + k, "tenant_id": t, "model": m, "tool_count": 3} for k, (t, m) in enumerate([("a", "x"), ("b", "x"), ("c", "odd"), (None, "x")])]
+        seen += len(rows)
+        put(tmp_path / "in", i, rows)
+        audit_log.audit_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), policies, str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination(60)
+
+    (folder / "a" / "p.cedar").write_text(own.format("a1", 2))
+    (folder / "b" / "p.cedar").write_text(own.format("b1", 5))
+    step(0)
+    (folder / "a" / "p.cedar").write_text("forbid(")
+    (folder / "b" / "p.cedar").write_text(own.format("b2", 1))
+    step(1)
+    assert set(policies.errors) == {"a"}
+    rows = audit_log.written(spark, str(tmp_path / "log"), f"{schema}, decided string, rule_id string, policy_version string").orderBy("n").collect()
+    assert [(r.decided, r.rule_id) for r in rows] == [("block", "a1"), ("allow", "policy0"), ("flag", "base"), ("allow", "policy0"), ("block", "a1"), ("block", "b2"), ("flag", "base"), ("allow", "policy0")]
+    version = [r.policy_version for r in rows]
+    assert version[0] == version[4] and version[1] != version[5] and version[2] == version[3] == version[6] == version[7]

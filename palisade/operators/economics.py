@@ -102,9 +102,13 @@ def budget_status(amount: Column, spent_usd: Column) -> Column:
     return F.struct(remaining.alias("remaining_usd"), used.alias("utilization_pct"), (remaining * 100).cast("long").alias("remaining_cents"))
 
 
-def refresh(status: DataFrame, now: Column) -> DataFrame:
-    """Budgets (with reset_at and spent_usd) whose period has ended start anew; of repeated ones the larger cap stays."""
-    w = Window.partitionBy("scope", "scope_id").orderBy(F.desc("amount_usd"))
+def refresh(status: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """Budgets (with reset_at and spent_usd) whose period has ended start anew; of repeated ones the larger cap stays.
+
+    Of equal caps the first by ``order`` stays; without it, what ends first, then what is spent least.
+    """
+    ties = [order] if order else ["reset_at", "spent_usd", "period"]
+    w = Window.partitionBy("scope", "scope_id").orderBy(F.desc("amount_usd"), *ties)
     over = F.col("reset_at") <= now
     one = status.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return one.withColumn("spent_usd", F.when(over, 0.0).otherwise(F.col("spent_usd"))).withColumn("reset_at", F.when(over, reset_at(now, F.col("period"))).otherwise(F.col("reset_at")))

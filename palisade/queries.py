@@ -658,9 +658,9 @@ def _(spark, d):
 def _(spark, d):
     status = table(spark, d, "events").select(
         F.lit("tenant").alias("scope"), F.col("user_id").cast("string").alias("scope_id"), F.col("value").alias("amount_usd"), (F.col("value") / 2).alias("spent_usd"), F.lit("daily").alias("period"),
-        economics.reset_at(F.col("ts"), F.lit("daily")).alias("reset_at"),
+        economics.reset_at(F.col("ts"), F.lit("daily")).alias("reset_at"), "event_id",
     )
-    fresh = economics.refresh(status, F.lit(_NOW).cast("timestamp"))
+    fresh = economics.refresh(status, F.lit(_NOW).cast("timestamp"), "event_id")
     return fresh.select("scope_id", "amount_usd", "spent_usd", F.date_format("reset_at", "yyyy-MM-dd").alias("reset_on"))
 
 

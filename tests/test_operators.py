@@ -41,6 +41,31 @@ def test_refresh_keeps_the_larger_cap(spark):
     assert len(r) == 1 and (r[0].amount_usd, r[0].spent_usd, r[0].reset_at) == (2.0, 0.0, ts("2024-01-02 00:00:00"))
 
 
+def test_refresh_keeps_the_first_of_equal_caps(spark):
+    rows = [(i, "tenant", str(i % 3), 2.0, float(i), "daily", ts("2024-01-02 00:00:00")) for i in range(60)]
+    df = spark.createDataFrame(rows[::-1], "n int, scope string, scope_id string, amount_usd double, spent_usd double, period string, reset_at timestamp").repartition(4)
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    for r in (economics.refresh(df, now, "n"), economics.refresh(df.drop("n"), now)):
+        assert sorted((x.scope_id, x.spent_usd) for x in r.collect()) == [("0", 0.0), ("1", 1.0), ("2", 2.0)]
+
+
+def test_budget_refresh_of_ties_by_sql(spark, tmp_path):
+    """Every greatest value of a user twice, a day apart: SQL on one thread keeps the first."""
+    import duckdb
+
+    from palisade import queries
+
+    c = duckdb.connect()
+    c.sql("SET timezone = 'UTC'")
+    c.sql("SET threads = 1")
+    one = "SELECT * FROM '/root/testdata/sf0.001/events.parquet'"
+    c.sql(f"COPY (SELECT * FROM ({one}) UNION ALL (SELECT * REPLACE (event_id + 1000000 AS event_id, ts - INTERVAL 1 DAY AS ts) FROM ({one})) ORDER BY event_id) TO '{tmp_path}/events.parquet'")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(c.sql(queries.SQL["budget_refresh"]).fetchall())
+    got = queries.QUERIES["budget_refresh"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(a, float(b), float(x), d) for a, b, x, d in want]
+
+
 def test_identity_and_fallback(spark):
     keys = spark.createDataFrame([("h", "t", "a")], "key_hash string, tenant_id string, agent_id string")
     r = routing.with_identity(spark.createDataFrame([("h",), ("x",)], "key_hash string"), keys).orderBy("key_hash").collect()

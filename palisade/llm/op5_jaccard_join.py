@@ -93,12 +93,14 @@ def _groups(top: int, percent: int) -> int:
 
     Sets of that size differ in at most (100 - percent) / percent of it, and about
     x * (1 - exp(-1 / x)) of it are groups with a shingle where x of it are groups.
+    Where that leaves something to chance, in small sets and where nearly all or
+    more than all may differ, every shingle is a group: 0.
     """
-    if top <= 64:
-        return top * 4
+    need = 1.22 * (100 - percent) / percent
+    if top <= 64 or need >= 0.98:
+        return 0
     if percent == PERCENT:
         return int(top / 4.6)
-    need = min(1.22 * (100 - percent) / percent, 0.98)
     low, high = 0.01, 32.0
     for _ in range(40):
         x = (low + high) / 2
@@ -115,7 +117,9 @@ def cells(s: np.ndarray, percent: int) -> np.ndarray:
     # Its own band and those of all the larger sets that it can be similar to.
     for b in range(band, (100 * n // percent).bit_length() + 1):
         top = 1 << b
-        g = mix(s ^ np.uint64(b)) % np.uint64(_groups(top, percent))
+        g = mix(s ^ np.uint64(b))
+        if groups := _groups(top, percent):
+            g %= np.uint64(groups)
         order = np.argsort(g, kind="stable")
         g, x = g[order], mix(s[order] + np.uint64(b))
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
@@ -185,10 +189,14 @@ def _verify(percent: int):
 
 
 def _folded(v: bytes, dims: int) -> np.ndarray:
+    """Counts of ``dims`` groups in as wide a type as they need; above all counts for a set without a point."""
     x = np.frombuffer(v, np.uint8)
     if not len(x):
-        return np.full(dims, 255, np.uint8)
-    return x if len(x) == dims else np.minimum(x.reshape(-1, dims).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+        return np.full(dims, np.iinfo(np.uint32).max, np.uint32)
+    if len(x) == dims:
+        return x
+    sums = x.reshape(-1, dims).sum(axis=0, dtype=np.int64)
+    return sums.astype(np.min_scalar_type(sums.max()))
 
 
 def _points(vecs: list[bytes], sizes: np.ndarray) -> np.ndarray:

@@ -56,6 +56,41 @@ def test_cells_of_any_threshold(percent, n, big):
         assert set(op5_jaccard_join.cells(x, percent)) & set(op5_jaccard_join.cells(y, percent))
 
 
+@pytest.mark.parametrize("percent, n, big", [(20, 1, 5), (51, 26, 50), (50, 1, 2), (80, 4, 5), (85, 6, 7), (30, 40, 130)])
+def test_cells_of_small_sets(percent, n, big):
+    rng = np.random.default_rng(percent)
+    for _ in range(2000):
+        y = np.unique(rng.integers(0, 2**64, big, dtype=np.uint64))
+        x = np.sort(rng.choice(y, n, replace=False))
+        assert set(op5_jaccard_join.cells(x, percent)) & set(op5_jaccard_join.cells(y, percent))
+
+
+@pytest.mark.parametrize("n", [1000, 15_500, 17_000, 19_000, 60_000])
+def test_bound_keeps_similar_sets_of_any_size(n):
+    """One leaf of pairs just above 85 in 100, and a set without a point; the tree gives the same."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+    same = -(-85 * 2 * n // 185) + 1
+    sets = [np.sort(np.append(base[:same], base[same + i * (n - same) : same + (i + 1) * (n - same)])) for i in range(3)]
+    assert all(op5_jaccard_join._similar(x, y, 85) for x in sets for y in sets)
+    sizes = np.array([len(x) for x in sets])
+    for vecs in ([op5_jaccard_join.count_vector(x) for x in sets], [b""] * 3, [b"", *(op5_jaccard_join.count_vector(x) for x in sets[1:])]):
+        a, b = op5_jaccard_join._bound_pairs(np.array([0]), np.array([3]), sizes, vecs, 85)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 2)]
+        points = op5_jaccard_join._points(vecs, np.append(sizes, 40))
+        tree = op5_jaccard_join.CountTree(points, sizes, 85)
+        assert all(sorted(tree.search(points[i], n).tolist()) == [0, 1, 2] for i in range(3))
+
+
+def test_links_of_very_long_texts(spark):
+    """Two texts of 19,000 words that differ in 500 of them side by side."""
+    words = [f"w{i}" for i in range(19_000)]
+    texts = [" ".join(words), " ".join([*words[:-500], *(f"x{i}" for i in range(500))]), " ".join(words[:9000])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, op5_jaccard_join.link_components(df).collect()))
+    assert got == [(0, 18_997, 0), (1, 18_997, 0), (2, 8_997, 2)]
+
+
 def test_unsettled_components_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(_graph, "MOST_STEPS", 1)
     path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")

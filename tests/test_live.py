@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,42 @@ def test_capped_flushes_of_one_long_stream(spark):
     assert rest == [(3, 0, 9, "onetwo", "end")]
 
 
+@pytest.mark.parametrize("block, cap", [(1, 5), (3, 1), (3, 12), (16, 5), (16, 60), (512, 12)])
+def test_capped_flushes_by_blocks(spark, block, cap):
+    """Streams of many blocks, in any order of rows, some flushed by rows that end; nothing is kept in the shared folder."""
+    rnd = random.Random(block * 100 + cap)
+    rows, want = [], []
+    for s in range(12):
+        kinds = (["ab", "c", "é", "xyzxyz"], ["ab", " i", "é", "q\n"], ["a", "b", "c d", "longer chunk"])[s % 3]
+        b, seq = buffer.Buffer(cap), rnd.randint(-40, 40)
+        for _ in range(rnd.randint(1, 80)):
+            seq += rnd.choice([1, 1, 1, 2, 30])
+            ends = rnd.random() < 0.06
+            chunk = "" if ends else rnd.choice(kinds)
+            rows.append((s, seq, chunk, ends))
+            if got := b.end() if ends else b.push(chunk, seq):
+                want.append((s, *got, seq if ends else None))
+        if got := b.end():
+            want.append((s, *got, None))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "stream_id long, seq long, chunk string, ends boolean").repartition(3)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    kept = sorted(map(str, Path(shared).rglob("*")))
+    flushes = buffer.flush_capped(df, cap, F.col("ends"), block)
+    assert sorted(map(tuple, flushes.select("stream_id", "flush_seq", "last_seq", "text", "reason", "ended_at").collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(str, Path(shared).rglob("*"))) == kept
+
+
+def test_capped_flushes_travel_packed(spark):
+    """The chunks are shuffled once, a block a row."""
+    df = spark.range(40).selectExpr("id as stream_id", "explode(sequence(0L, 99L)) as seq").withColumn("chunk", F.lit("ab"))
+    flushes = buffer.flush_capped(df, 12)
+    assert flushes.count() == 40 * 17
+    assert "Window" not in flushes._jdf.queryExecution().optimizedPlan().toString()
+    packed = df.select("stream_id", "seq", "chunk", F.lit(False).alias("over")).mapInArrow(buffer._pack(512), "stream_id long, _b long, steps array<int>, sizes array<int>, text binary")
+    assert packed.count() <= 40 + spark.sparkContext.defaultParallelism * 2
+
+
 def test_totals(spark):
     df = spark.createDataFrame([(1, 0, f"data: {said('mail joe@example.com ')}\n\n", 0.0), (1, 1, f"data: {said('and rest')}\n\ndata: [DONE]\n\n", 1.5), (2, 0, "", 0.0)], "stream_id long, seq long, chunk string, s double").withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("long")))
     items = live.enforce(df, RULES, 100)

@@ -39,6 +39,8 @@ from palisade.streaming.buffer import Buffer, flush_capped
 
 #: Frames of one event have places of their own.
 _FRAMES = 1 << 16
+#: Events whose texts are flushed together.
+_BLOCK = 512
 #: The place of what waits when a stream ends.
 LAST = (1 << 63) - 1
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,7 +83,7 @@ def enforce(chunks: DataFrame, policies: str | list[pol.Policy], cap: int, provi
     text = chunks.select("stream_id", "seq", F.coalesce("chunk", F.lit("")).alias("chunk"))
     frames = _parsed(fr.reassemble(text, ["stream_id"]).withColumn("over", F.lit(False)), provider)
     waiting = frames.where("ends or text is not null").select("stream_id", F.col("at").alias("seq"), F.col("text").alias("chunk"), "ends")
-    flushes = flush_capped(waiting, cap, F.col("ends"))
+    flushes = flush_capped(waiting, cap, F.col("ends"), _FRAMES * _BLOCK)
     place = F.when(F.col("reason") == "end", F.coalesce("ended_at", F.lit(LAST))).otherwise(F.col("last_seq"))
     null = F.lit(None).cast("string")
     texts = flushes.select("stream_id", place.alias("at"), F.lit(0).alias("part"), F.lit("text").alias("kind"), "text", "reason", null.alias("event"), null.alias("data"))

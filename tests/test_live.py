@@ -203,6 +203,21 @@ def test_capped_flushes_travel_packed(spark):
     assert packed.count() <= 40 + spark.sparkContext.defaultParallelism * 2
 
 
+def test_enforced_texts_travel_packed(spark, monkeypatch):
+    """Places of events are far apart, yet a stream's texts are one block; nothing is kept in the shared folder."""
+    frames = "".join(f"data: {said(w)}\n\n" for w in ["one ", "tw", "o", " three"] * 25)
+    df = spark.createDataFrame([(s, i, frames[i * 50 : (i + 1) * 50]) for s in range(6) for i in range(len(frames) // 50 + 1)], "stream_id long, seq long, chunk string")
+    met = []
+    monkeypatch.setattr(live, "flush_capped", lambda *a: met.append(a) or buffer.flush_capped(*a))
+    kept = sorted(map(str, Path(spark.sparkContext.getConf().get("spark.checkpoint.dir")).rglob("*")))
+    assert live.enforce(df, RULES, 16).where("kind = 'text'").count() == 6 * 50
+    assert sorted(map(str, Path(spark.sparkContext.getConf().get("spark.checkpoint.dir")).rglob("*"))) == kept
+    (texts, _, _, block), = met
+    rows = texts.select("stream_id", F.col("seq").cast("long"), F.coalesce("chunk", F.lit("")).alias("chunk"), "ends")
+    assert rows.count() == 600
+    assert rows.mapInArrow(buffer._pack(block), "stream_id long, _b long, steps array<int>, sizes array<int>, text binary").count() == 6
+
+
 def test_totals(spark):
     df = spark.createDataFrame([(1, 0, f"data: {said('mail joe@example.com ')}\n\n", 0.0), (1, 1, f"data: {said('and rest')}\n\ndata: [DONE]\n\n", 1.5), (2, 0, "", 0.0)], "stream_id long, seq long, chunk string, s double").withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("long")))
     items = live.enforce(df, RULES, 100)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch sent to Python: whole texts, so few rows; a larger text is a batch of its own.
 ARROW_ROWS = 1024
 ARROW_BYTES = 16 << 20
+#: A task returns unused memory after a batch if it hasn't for so long.
+GIVE_BACK_SECONDS = 1.0
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -71,6 +77,52 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What this worker remembers, of one kind at a time.
+_kept: dict[str, object] = {}
+
+
+def kept(kind: str, make: Callable[[], object]) -> object:
+    """What a worker keeps for the next tasks of its kind: made once, and dropped when a ``lean`` task of another kind begins."""
+    if kind not in _kept:
+        _kept[kind] = make()
+    return _kept[kind]
+
+
+def forget(kind: str) -> None:
+    """Drop what was kept for tasks of other kinds."""
+    for other in [k for k in _kept if k != kind]:
+        del _kept[other]
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable, kind: str = "") -> Callable:
+    """A function for mapInArrow that leaves little in its worker.
+
+    Spark uses workers again for the tasks of later stages, so what one operator
+    remembers or holds in free lists would count against all that follow.
+    """
+
+    def task(batches):
+        forget(kind)
+        last = time.monotonic()
+        try:
+            for batch in run(batches):
+                yield batch
+                if time.monotonic() - last > GIVE_BACK_SECONDS:
+                    give_back()
+                    last = time.monotonic()
+        finally:
+            give_back()
+
+    return task
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

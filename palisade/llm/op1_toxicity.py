@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import plain_names, prepare, table
+from palisade.llm._spark import lean, plain_names, prepare, table
 from palisade.llm._text import buffers, chunks
 
 FIT_ROWS = 20_000
@@ -75,7 +75,7 @@ def _trigrams(batches):
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """log P(symbol | two before it), from all texts."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(lean(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS**3)
     counts[rows["code"].to_numpy()] = rows["n"].to_numpy()
     counts = counts.reshape(-1, SYMBOLS, SYMBOLS)
@@ -228,7 +228,7 @@ def _feature_counts(model):
 
 def learn_weights(docs: DataFrame, labels: DataFrame, model) -> dict[str, float]:
     """Log odds of the words that mark toxic texts."""
-    rows = _labelled(docs, labels, (0, 1), FIT_ROWS).mapInArrow(_feature_counts(model), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows = _labelled(docs, labels, (0, 1), FIT_ROWS).mapInArrow(lean(_feature_counts(model)), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = rows.where("feature = ''").first()
     pos, neg = (total["pos"], total["neg"]) if total else (0, 0)
     if not pos or not neg:
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     lm = language_model(docs)
     weights = learn_weights(docs, labels, spark.sparkContext.broadcast(lm))
     setup = spark.sparkContext.broadcast((lm, weights))
-    rows = _labelled(docs, labels, (3,), CALIBRATION_ROWS).select("text", F.col("toxic").cast("int")).mapInArrow(_evidence(setup), "x array<double>, toxic int").toArrow()
+    rows = _labelled(docs, labels, (3,), CALIBRATION_ROWS).select("text", F.col("toxic").cast("int")).mapInArrow(lean(_evidence(setup)), "x array<double>, toxic int").toArrow()
     y = rows["toxic"].to_numpy().astype(float)
     if not weights or not 0 < y.sum() < len(y):
         return lm, weights, None
@@ -297,7 +297,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pc.less(scorer(batch.column(at)), threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 class _Scorer:
@@ -321,7 +321,7 @@ def _scored(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), scorer(batch.column(1))], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

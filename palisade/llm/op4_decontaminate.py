@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import cut, discard, fresh, plain_names, prepare, table
+from palisade.llm._spark import cut, discard, fresh, lean, plain_names, prepare, table
 from palisade.llm._text import ALNUM
 
 WINDOW = 13
@@ -255,12 +255,12 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int
     block = next(blocks)
     while (then := next(blocks, None)) is not None:
         automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        state = cut(state.mapInArrow(scanner(automaton, False), between), "scanned")
+        state = cut(state.mapInArrow(lean(scanner(automaton, False)), between), "scanned")
         automaton.destroy()
         if held is not None:
             discard(held)
         block, held = then, state
-    return state.mapInArrow(scanner(spark.sparkContext.broadcast(SuffixAutomaton(block, window)), True), schema)
+    return state.mapInArrow(lean(scanner(spark.sparkContext.broadcast(SuffixAutomaton(block, window)), True)), schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

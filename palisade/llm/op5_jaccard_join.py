@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm._graph import components
 from palisade.llm._rtree import CountTree
-from palisade.llm._spark import cut, discard, fresh, parts, plain_names, prepare, release, table
+from palisade.llm._spark import cut, discard, fresh, lean, parts, plain_names, prepare, release, table
 from palisade.llm._text import LOWER, NON_BLANK, buffers, chunks, hash_words, mix, signed, windows
 
 SHINGLE = 4
@@ -386,7 +386,7 @@ class _Join:
         self.k, self.percent = k, percent
         text = F.col("text").cast("string")
         self.source = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"))
-        base = cut(self.source.mapInArrow(_documents(k, percent), _BASE), "sets")
+        base = cut(self.source.mapInArrow(lean(_documents(k, percent)), _BASE), "sets")
         wide = base.where("n > 0").groupBy("k1", "k2").agg(
             F.min("doc_id").alias("rep"),
             F.min("key").alias("key"),
@@ -420,7 +420,7 @@ class _Join:
         small = cut(met.join(self._alike(met, "cell"), "cell"), "met")
         discard(met)
         points = small.where(F.col("m") <= BLOCK).join(self.classes.select("c", "n", "vec"), "c").select("cell", "c", "n", "vec")
-        found = points.repartition(parts(self.spark), "cell").sortWithinPartitions("cell").mapInArrow(_split(self.percent), "cell long, part long, c long, n long, vec binary")
+        found = points.repartition(parts(self.spark), "cell").sortWithinPartitions("cell").mapInArrow(lean(_split(self.percent)), "cell long, part long, c long, n long, vec binary")
         split = cut(found.select(F.xxhash64("cell", "part").alias("cell"), "c"), "parts")
         all_ = split.unionByName(small.where(F.col("m") > BLOCK).select("cell", "c"))
         out = cut(all_.join(self._alike(all_, "cell"), "cell"), "cells")
@@ -448,7 +448,7 @@ class _Join:
         """(c, set) of all classes that share a cell; texts are met by their MD5, each once."""
         reps = self.classes.join(self.met.select("c").distinct(), "c", "left_semi").select("c", "key")
         texts = self.source.groupBy("key").agg(F.any_value("text").alias("text"))
-        return cut(texts.join(reps, "key").select("c", "text").mapInArrow(_sets(self.k), "c long, set binary"), "members")
+        return cut(texts.join(reps, "key").select("c", "text").mapInArrow(lean(_sets(self.k)), "c long, set binary"), "members")
 
     def link_in_cells(self, turn: int) -> None:
         """Each member meets the others of one of its cells: the next most crowded in each turn."""
@@ -459,7 +459,7 @@ class _Join:
         block = F.pmod(F.xxhash64("c", F.lit(turn)), F.col("blocks")).cast("int")
         dealt = picked.join(size.select("cell", blocks.alias("blocks")), "cell").select("cell", block.alias("block"), "c", "label").join(self.sets, "c")
         dealt = dealt.select("cell", "block", "c", "label", "set").repartition(parts(self.spark), "cell", "block").sortWithinPartitions("cell", "block")
-        links = cut(dealt.mapInArrow(_forest(self.percent), "a long, b long"), "links")
+        links = cut(dealt.mapInArrow(lean(_forest(self.percent)), "a long, b long"), "links")
         discard(picked)
         self._add(links)
 
@@ -486,12 +486,12 @@ class _Join:
         dealt = dealt.select("cell", F.explode("to").alias("to"), "c", "label").select("cell", "to.*", "c", "label")
         met = whole.unionByName(dealt).join(self.classes.select("c", "n", "vec"), "c").select("cell", "i", "j", "cross", "side", "c", "label", "n", "vec")
         met = met.repartition(parts(self.spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-        pairs = met.mapInArrow(_candidates(self.percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = met.mapInArrow(lean(_candidates(self.percent)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = cut(pairs.distinct(), "pairs")
         discard(open_)
         one = pairs.join(self.sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
         both = one.join(self.sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
-        links = cut(both.mapInArrow(_verify(self.percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
+        links = cut(both.mapInArrow(lean(_verify(self.percent)), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
         discard(pairs)
         self._add(links)
 

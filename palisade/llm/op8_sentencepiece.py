@@ -32,7 +32,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm._spark import plain_names, prepare, table
+from palisade.llm._spark import kept, lean, plain_names, prepare, table
 
 MODEL = "piece_bpe_32k.model"
 #: Longer units are streamed and not remembered.
@@ -44,15 +44,11 @@ _UNIT = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 
 
 class Pieces:
-    """The vocabulary of a model file and the search over it; one for each worker and file."""
-
-    _made: dict[str, Pieces] = {}
+    """The vocabulary of a model file and the search over it; a worker keeps one while its tasks use that file."""
 
     @classmethod
     def of(cls, path: str) -> Pieces:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept(path, lambda: cls(path))
 
     def __init__(self, path: str):
         import sentencepiece
@@ -226,7 +222,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, tokens, pa.array(sizes)], names=[*batch.schema.names, "token_ids", "n_tokens"])
 
     types = ", ".join(f"{c} {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{types}, token_ids array<int>, n_tokens long")
+    return docs.mapInArrow(lean(run, path), f"{types}, token_ids array<int>, n_tokens long")
 
 
 def report(docs: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -244,7 +240,7 @@ def report(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, path), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
 """Recall over many lists, bands of low thresholds, and odd column names."""
 
+import gc
+import weakref
+
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import _graph, op1_toxicity, op2_pii, op3_secrets, op4_decontaminate, op5_jaccard_join, op8_sentencepiece
 from palisade.llm import op6_embedding_dedup as op6
+from palisade.llm._spark import lean
 
 
 def unit(x):
@@ -121,3 +127,37 @@ def test_odd_column_names(spark, data, tmp_path, name):
     assert rows and all([r[k] for k in more] == list(more.values()) for r in rows)
     if name == "op8":
         assert out.columns[-2:] == ["token_ids_", "n_tokens_"] and all(r["n_tokens_"] == len(r["token_ids_"]) for r in rows)
+
+
+def test_a_worker_drops_what_it_kept_for_another_operator():
+    path, made = public_tokenizers.path(op8_sentencepiece.MODEL), []
+
+    def run(batches):
+        made.append(weakref.ref(op8_sentencepiece.Pieces.of(path)))
+        yield from batches
+
+    for _ in range(2):
+        list(lean(run, path)([]))
+    assert made[0]() is not None and made[0]() is made[1]()
+    list(lean(op5_jaccard_join._documents(5, 80))([]))
+    gc.collect()
+    assert made[0]() is None
+
+
+def test_a_lean_task_gives_the_rows_of_the_task():
+    text = pa.array([" ".join(f"w{i * j}" for j in range(3000)) for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), text], names=["c", "text"])
+    plain = pa.Table.from_batches(op5_jaccard_join._sets(5)([batch]))
+    assert pa.Table.from_batches(lean(op5_jaccard_join._sets(5))([batch])).equals(plain)
+
+
+def test_a_lean_task_that_fails_or_is_closed_passes_that_on():
+    def run(batches):
+        yield from batches
+        raise ValueError("broken")
+
+    with pytest.raises(ValueError, match="broken"):
+        list(lean(run)([1, 2]))
+    task = lean(run)([1, 2])
+    assert next(task) == 1
+    task.close()
